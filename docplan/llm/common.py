@@ -5,7 +5,9 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+import zipfile
 from collections.abc import Iterable, Iterator
+from pathlib import Path
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -15,9 +17,27 @@ from pyspark.sql import functions as F
 BATCH_ROWS = "512"
 
 
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Give this package's source to the executors' Python workers, which need not have it installed."""
+    sc = spark.sparkContext
+    if sc.applicationId in _shipped:
+        return
+    _shipped.add(sc.applicationId)
+    root = Path(__file__).resolve().parents[1]
+    target = Path(tempfile.mkdtemp(prefix="docplan-")) / f"{root.name}.zip"
+    with zipfile.ZipFile(target, "w", zipfile.ZIP_DEFLATED) as z:
+        for p in sorted(root.rglob("*.py")):
+            z.write(p, p.relative_to(root.parent))
+    sc.addPyFile(str(target))
+
+
 def prepare(spark: SparkSession) -> SparkSession:
-    """Keep Arrow batches small enough for long texts."""
+    """Keep Arrow batches small enough for long texts, and give the workers their code."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+    ship(spark)
     return spark
 
 
@@ -62,6 +82,7 @@ def map_frames(df: DataFrame, f, schema: str) -> DataFrame:
     def run(frames: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield from f(x for x in frames if len(x))
 
+    ship(df.sparkSession)
     return df.mapInPandas(run, schema)
 
 

@@ -7,8 +7,9 @@ from collections.abc import Callable
 from importlib.util import find_spec
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import bpe, matroska
+from . import arc_warc, bpe, matroska, superkmer
 from .common import prepare
 
 #: The folder of the public tokenizers' files; their package tells it where the variable is unset.
@@ -23,13 +24,38 @@ def op4_bpe_pair_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"), f"{TOKENIZERS}/word_bpe_49k.json")
 
 
+def op8_super_kmer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = superkmer.remove_repeats(table(spark, sf_dir, "documents"))
+    return cut.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
+
+
+def op10_arc_converter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return arc_warc.round_trip(table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op9_matroska(spark: SparkSession, sf_dir: str) -> DataFrame:
     return matroska.digests(matroska.encode(table(spark, sf_dir, "documents")))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_bpe_pair_index": op4_bpe_pair_index,
+    "op8_super_kmer": op8_super_kmer,
     "op9_matroska": op9_matroska,
+    "op10_arc_converter": op10_arc_converter,
 }
 #: DuckDB SQL for those that SQL can express.
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {
+    "op8_super_kmer": r"""
+WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT doc_id, i, array_to_string(w[i : i + 34], ' ') AS k FROM w, unnest(generate_series(1, len(w) - 34)) AS t(i)),
+r AS (SELECT doc_id, i FROM s WHERE md5(k) IN (SELECT md5(k) FROM s GROUP BY 1 HAVING count(*) > 1)),
+c AS (SELECT DISTINCT doc_id, i + j AS i FROM r, unnest(generate_series(0, 34)) AS t(j)),
+e AS (SELECT doc_id, i, w[i] AS x FROM w, unnest(generate_series(1, len(w))) AS t(i)),
+k AS (SELECT e.doc_id, count(*) AS n, string_agg(x, ' ' ORDER BY e.i) AS kept FROM e ANTI JOIN c ON e.doc_id = c.doc_id AND e.i = c.i GROUP BY 1)
+SELECT doc_id, len(w) AS n_words, len(w) - coalesce(n, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM w LEFT JOIN k USING (doc_id)""",
+    "op10_arc_converter": """
+WITH p AS (SELECT page_id, coalesce(html, '') AS html, octet_length(encode(coalesce(html, ''))) AS n FROM pages),
+g AS (SELECT *, max(page_id) OVER (PARTITION BY html) AS top FROM p)
+SELECT page_id, n AS payload_bytes, sha1(html) AS payload_digest, CASE WHEN n >= 1000 AND page_id < top THEN 'revisit' ELSE 'response' END AS record_type,
+CASE WHEN n >= 1000 AND page_id < top THEN top END AS refers_to FROM g""",
+}
