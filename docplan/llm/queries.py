@@ -9,7 +9,7 @@ from importlib.util import find_spec
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import arc_warc, bpe, matroska, superkmer
+from . import arc_warc, bpe, jaccard_join, matroska, superkmer
 from .common import prepare
 
 #: The folder of the public tokenizers' files; their package tells it where the variable is unset.
@@ -24,6 +24,10 @@ def op4_bpe_pair_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"), f"{TOKENIZERS}/word_bpe_49k.json")
 
 
+def op7_set_relation_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.link(table(spark, sf_dir, "documents"))
+
+
 def op8_super_kmer(spark: SparkSession, sf_dir: str) -> DataFrame:
     cut = superkmer.remove_repeats(table(spark, sf_dir, "documents"))
     return cut.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
@@ -39,6 +43,7 @@ def op9_matroska(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_bpe_pair_index": op4_bpe_pair_index,
+    "op7_set_relation_join": op7_set_relation_join,
     "op8_super_kmer": op8_super_kmer,
     "op9_matroska": op9_matroska,
     "op10_arc_converter": op10_arc_converter,
