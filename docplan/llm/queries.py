@@ -9,7 +9,7 @@ from importlib.util import find_spec
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import arc_warc, bpe, jaccard_join, matroska, superkmer
+from . import arc_warc, bpe, jaccard_join, matroska, quality, superkmer, toxicity
 from .common import prepare
 
 #: The folder of the public tokenizers' files; their package tells it where the variable is unset.
@@ -20,10 +20,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return prepare(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_toxicity_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents")
+    tagger = toxicity.train(documents, table(spark, sf_dir, "labels"))
+    return toxicity.score(documents, tagger).select("doc_id", "held_out", "score", "predicted", F.size("spans").alias("n_spans"))
+
+
 def op4_bpe_pair_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"), f"{TOKENIZERS}/word_bpe_49k.json")
 
 
+def op6_quality_nbsvm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op7_set_relation_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.link(table(spark, sf_dir, "documents"))
 
@@ -42,7 +52,9 @@ def op9_matroska(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_toxicity_crf": op1_toxicity_crf,
     "op4_bpe_pair_index": op4_bpe_pair_index,
+    "op6_quality_nbsvm": op6_quality_nbsvm,
     "op7_set_relation_join": op7_set_relation_join,
     "op8_super_kmer": op8_super_kmer,
     "op9_matroska": op9_matroska,
