@@ -9,7 +9,7 @@ from importlib.util import find_spec
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import arc_warc, bpe, jaccard_join, matroska, quality, superkmer, toxicity
+from . import ann, arc_warc, bpe, jaccard_join, matroska, packing, pii, quality, superkmer, toxicity
 from .common import prepare
 
 #: The folder of the public tokenizers' files; their package tells it where the variable is unset.
@@ -26,10 +26,24 @@ def op1_toxicity_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(documents, tagger).select("doc_id", "held_out", "score", "predicted", F.size("spans").alias("n_spans"))
 
 
+def op2_ivf_pq(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20)
+
+
+def op3_pii_skip_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents")
+    found = pii.find(documents, pii.train(documents))
+    return found.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", F.sha2(F.col("base").cast("binary"), 256).alias("base_sha256"), "spans")
+
+
 def op4_bpe_pair_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"), f"{TOKENIZERS}/word_bpe_49k.json")
 
 
+def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(table(spark, sf_dir, "documents"))
+
+
 def op6_quality_nbsvm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -53,7 +67,10 @@ def op9_matroska(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity_crf": op1_toxicity_crf,
+    "op2_ivf_pq": op2_ivf_pq,
+    "op3_pii_skip_chain": op3_pii_skip_chain,
     "op4_bpe_pair_index": op4_bpe_pair_index,
+    "op5_best_fit_packing": op5_best_fit_packing,
     "op6_quality_nbsvm": op6_quality_nbsvm,
     "op7_set_relation_join": op7_set_relation_join,
     "op8_super_kmer": op8_super_kmer,

@@ -214,6 +214,16 @@ def repeated_ranges(docs: DataFrame, window: int = WINDOW, seed: int = SEED, hot
     return words_of.groupBy("key").agg(F.flatten(F.collect_list("r")).alias("ranges"))
 
 
+def _outside(w: list[str], found: Iterable | None) -> list[str] | None:
+    """The words that no range covers; None if none is covered."""
+    if found is None or not len(found):
+        return None
+    edge = np.zeros(len(w) + 1, np.int64)
+    np.add.at(edge, [r["a"] for r in found], 1)
+    np.add.at(edge, [r["b"] for r in found], -1)
+    return [w[i] for i in np.flatnonzero(np.cumsum(edge)[:-1] == 0).tolist()]
+
+
 def remove_repeats(df: DataFrame, key: str = "doc_id", text: str = "text", window: int = WINDOW, seed: int = SEED, hot: int = HOT) -> DataFrame:
     """doc_id, text, n_words, n_removed and kept: the words outside all repeated windows, joined by one space."""
     docs = keyed(df, key, text)
@@ -224,14 +234,8 @@ def remove_repeats(df: DataFrame, key: str = "doc_id", text: str = "text", windo
             rows = []
             for t, found in zip(x["text"], x["ranges"], strict=True):
                 w = words(t)
-                if found is None or not len(found):
-                    rows.append((len(w), 0, " ".join(w)))
-                    continue
-                edge = np.zeros(len(w) + 1, np.int64)
-                np.add.at(edge, [r["a"] for r in found], 1)
-                np.add.at(edge, [r["b"] for r in found], -1)
-                keep = np.flatnonzero(np.cumsum(edge)[:-1] == 0)
-                rows.append((len(w), len(w) - len(keep), " ".join([w[i] for i in keep.tolist()])))
+                kept = _outside(w, found)
+                rows.append((len(w), 0 if kept is None else len(w) - len(kept), " ".join(w if kept is None else kept)))
             made = pd.DataFrame(rows, columns=["n_words", "n_removed", "kept"])
             made.insert(0, "text", x["text"].to_numpy())
             made.insert(0, "doc_id", x["doc_id"].to_numpy())
@@ -239,3 +243,22 @@ def remove_repeats(df: DataFrame, key: str = "doc_id", text: str = "text", windo
 
     joined = docs.join(stored(ranges, "ranges"), "key", "left").select("doc_id", "text", "ranges")
     return map_frames(joined, run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, text string, n_words long, n_removed long, kept string")
+
+
+def cut_repeats(df: DataFrame, text: str = "text", window: int = WINDOW, seed: int = SEED, hot: int = HOT) -> DataFrame:
+    """df with its repeated windows cut out of the text. Texts that have none, null ones too, stay as they are."""
+    key = F.unhex(F.md5(F.coalesce(F.col(text).cast("string"), F.lit("")).cast("binary")))
+    ranges = repeated_ranges(df.select(key.alias("key"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text")), window, seed, hot)
+
+    def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for x in batches:
+            now = []
+            for t, found in zip(x["text"], x["ranges"], strict=True):
+                kept = None if t is None else _outside(words(t), found)
+                now.append(t if kept is None else " ".join(kept))
+            yield pd.DataFrame({"row": x["row"], "now": now})
+
+    # the row travels as one value, so that no name of df clashes
+    joined = df.select(key.alias("key"), F.col(text).cast("string").alias("text"), F.struct(*[F.col(c) for c in df.columns if c != text]).alias("row")).join(stored(ranges, "ranges"), "key", "left")
+    cut = map_frames(joined.select("row", "text", "ranges"), run, f"row {joined.schema['row'].dataType.simpleString()}, now string")
+    return cut.select(*[F.col("now").alias(c) if c == text else F.col("row")[c].alias(c) for c in df.columns])

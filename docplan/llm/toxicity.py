@@ -246,3 +246,14 @@ def score(documents: DataFrame, tagger: Tagger, cut: float = CUT, span: float =
             yield pd.DataFrame({"doc_id": x["doc_id"], "held_out": x["held_out"], "score": s, "predicted": (s >= cut).astype(np.int32), "spans": spans})
 
     return map_frames(t, run, f"doc_id {t.schema['doc_id'].dataType.simpleString()}, held_out boolean, score double, predicted int, spans array<struct<start:int,end:int,marginal:double>>")
+
+
+def keep_clean(df: DataFrame, tagger: Tagger, text: str = "text", cut: float = CUT) -> DataFrame:
+    """The rows of df whose text scores under the cut, with all their columns."""
+
+    def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for x in batches:
+            s = tagger.scores(*tagger.marginals([t or "" for t in x[text]]))
+            yield x[s < cut]
+
+    return map_frames(df, run, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema))
