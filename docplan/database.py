@@ -278,7 +278,7 @@ class Database:
     def __init__(self, spark: SparkSession, path: str, read_only: bool = False) -> None:
         self.spark, self.path, self.read_only = spark, path.rstrip("/"), read_only
         self._log = f"{self.path}/_changes"
-        text = files.read_text(spark, f"{self.path}/_catalog.json")
+        text = files.read_text(spark, f"{self.path}/catalog.json")
         self._catalog: dict = json.loads(text) if text else {"collections": {}, "views": {}, "relations": {}, "pragmas": {}, "seq": 0}
         self._attached: dict[str, Database] = {}
         self._trigger: list[tuple[str, str, str, str, Callable]] = []
@@ -299,7 +299,7 @@ class Database:
     def _save(self) -> None:
         if self.read_only:
             raise DatabaseError("this database is open for reading only")
-        files.write_text(self.spark, f"{self.path}/_catalog.json", json.dumps(self._catalog))
+        files.write_text(self.spark, f"{self.path}/catalog.json", json.dumps(self._catalog))
 
     def _read(self, name: str, version: int | None = None) -> DataFrame:
         n = version or self._current(name)
@@ -336,9 +336,9 @@ class Database:
             n = rows.count()
             start = self._catalog["seq"]
             numbered = rows.coalesce(1) if n < 100_000 else rows
-            seq = F.monotonically_increasing_id() + F.lit(start + 1)
-            top = numbered.select(F.max(seq)).first()[0] if n else start
-            numbered.select(seq.alias("seq"), "op", "ns", "key", "document", F.lit(None).cast("string").alias("before"), F.current_timestamp().alias("ts")).write.mode("append").parquet(self._log)
+            numbered = numbered.withColumn("seq", F.monotonically_increasing_id() + F.lit(start + 1))
+            top = numbered.agg(F.max("seq")).first()[0]
+            numbered.select("seq", "op", "ns", "key", "document", F.lit(None).cast("string").alias("before"), F.current_timestamp().alias("ts")).write.mode("append").parquet(self._log)
             self._catalog["seq"] = max(start, top or start)
             files.delete(self.spark, path)
 
@@ -584,7 +584,7 @@ class Transaction:
 
     def commit(self) -> None:
         db, staged, pending = self.db, self.db._staged or {}, self.db._pending
-        text = files.read_text(db.spark, f"{db.path}/_catalog.json")
+        text = files.read_text(db.spark, f"{db.path}/catalog.json")
         stored = json.loads(text)["collections"] if text else {}
         for name in staged:
             if stored.get(name, {}).get("current") != self.base.get(name):

@@ -41,18 +41,23 @@ def watch(changes: DataFrame, callback: Callable[[dict], None], checkpoint: str,
     return (w.trigger(availableNow=True) if once else w).start()
 
 
-def tumbling(events: DataFrame, time: str, width: str, by: list[str], aggregates: list, late: str = "10 minutes") -> DataFrame:
+def _late(events: DataFrame, time: str, late: str | None) -> DataFrame:
+    """With a watermark; None where the stream has one."""
+    return events if late is None else events.withWatermark(time, late)
+
+
+def tumbling(events: DataFrame, time: str, width: str, by: list[str], aggregates: list, late: str | None = "10 minutes") -> DataFrame:
     """Aggregates over windows of fixed width; rows later than the watermark are left out of a stream."""
-    return events.withWatermark(time, late).groupBy(F.window(time, width), *by).agg(*aggregates)
+    return _late(events, time, late).groupBy(F.window(time, width), *by).agg(*aggregates)
 
 
-def sliding(events: DataFrame, time: str, width: str, slide: str, by: list[str], aggregates: list, late: str = "10 minutes") -> DataFrame:
-    return events.withWatermark(time, late).groupBy(F.window(time, width, slide), *by).agg(*aggregates)
+def sliding(events: DataFrame, time: str, width: str, slide: str, by: list[str], aggregates: list, late: str | None = "10 minutes") -> DataFrame:
+    return _late(events, time, late).groupBy(F.window(time, width, slide), *by).agg(*aggregates)
 
 
-def session(events: DataFrame, time: str, gap: str, by: list[str], aggregates: list, late: str = "10 minutes") -> DataFrame:
+def session(events: DataFrame, time: str, gap: str, by: list[str], aggregates: list, late: str | None = "10 minutes") -> DataFrame:
     """Windows that end with a silence of the gap: a counter that each hit keeps alive."""
-    return events.withWatermark(time, late).groupBy(F.session_window(time, gap), *by).agg(*aggregates)
+    return _late(events, time, late).groupBy(F.session_window(time, gap), *by).agg(*aggregates)
 
 
 def deduplicate(events: DataFrame, time: str, by: list[str], within: str = "10 minutes") -> DataFrame:
