@@ -108,11 +108,13 @@ def _scan(docs: DataFrame, window: int, seed: int) -> DataFrame:
     def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for x in batches:
             owner, *found = super_kmers(x["text"].tolist(), window, seed)
+            if not len(owner):
+                continue
             cut = np.flatnonzero(np.diff(owner)) + 1
-            who = owner[np.concatenate(([0], cut))] if len(owner) else owner
+            who = owner[np.concatenate(([0], cut))]
             made = {"key": x["key"].to_numpy()[who]}
             for name, kind, column in zip(("start", "n", "mini", "twice"), (np.int32, np.int32, np.int64, np.bool_), found, strict=True):
-                made[name] = np.split(column.astype(kind), cut) if len(owner) else []
+                made[name] = np.split(column.astype(kind), cut)
             yield pd.DataFrame(made)
 
     return map_frames(docs.select("key", "text"), run, "key binary, start array<int>, n array<int>, mini array<long>, twice array<boolean>")
