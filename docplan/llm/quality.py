@@ -125,28 +125,32 @@ def fit(many: list[str], y: np.ndarray, cost: float = 1.0, smooth: float = 1.0,
     if len(set(y.tolist())) < 2:
         share = (y.sum() + 1) / (len(y) + 2)
         return Model(np.zeros(size, np.float32), np.zeros(size, np.float32), 0.0, float(np.log(share / (1 - share))))
-    codes, at = indicators(many, bits)
-    owner = np.repeat(np.arange(len(many)), np.diff(at))
     apart = np.arange(len(many)) % 5 == 4
     apart &= len(many) >= 50
-    used = ~apart[owner]
-    good = np.bincount(codes[used], y[owner[used]], size)
-    every = np.bincount(codes[used], minlength=size)
+    found: list[np.ndarray] = []  # the numbers of each text; made by some texts at a time, so that words don't pile up in the driver
+    for k in range(0, len(many), 128):
+        codes, at = indicators(many[k : k + 128], bits)
+        found += np.split(codes.astype(np.int32), at[1:-1])
+    good, every = np.zeros(size, np.int64), np.zeros(size, np.int64)
+    for i in np.flatnonzero(~apart).tolist():
+        every[found[i]] += 1
+        if y[i]:
+            good[found[i]] += 1
     p, q = good + smooth, every - good + smooth
-    ratio = np.where(every >= LEAST, np.log(p / p.sum()) - np.log(q / q.sum()), 0.0)
+    ratio = np.where(every >= LEAST, np.log(p / p.sum()) - np.log(q / q.sum()), 0.0).astype(np.float32)
     rows = []
-    for i in range(len(many)):
-        c = codes[at[i] : at[i + 1]]
+    for i, c in enumerate(found):
         v = ratio[c]
         c, v = c[v != 0], v[v != 0]
         rows.append((c, v / max(np.linalg.norm(v), 1e-9)))
+        found[i] = c
     train = np.flatnonzero(~apart)
     share = y[train].mean()
     costs = np.where(y[train] > 0, cost * 0.5 / max(share, 1e-6), cost * 0.5 / max(1 - share, 1e-6))
     w = dual_descent([rows[i] for i in train], np.where(y[train] > 0, 1.0, -1.0), costs, size)
     model = Model((w * ratio).astype(np.float32), ratio.astype(np.float32), 1.0, 0.0)
     rest = np.flatnonzero(apart) if apart.any() and len(set(y[apart].tolist())) == 2 else np.arange(len(many))
-    slope, constant = calibrate(model.margins([many[i] for i in rest])[:, None], y[rest])
+    slope, constant = calibrate(np.concatenate([model.margins([many[i] for i in part]) for part in np.split(rest, range(128, len(rest), 128))])[:, None], y[rest])
     return model._replace(slope=float(slope), constant=float(constant))
 
 
