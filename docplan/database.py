@@ -16,7 +16,7 @@ from collections.abc import Callable, Iterable, Iterator
 from contextlib import contextmanager
 from typing import Any
 
-from pyspark.sql import DataFrame, Row, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -179,7 +179,7 @@ class Collection:
             return 0
         plain = {k: v for k, v in spec.items() if k != "$setOnInsert"} if upsert else spec
         if plain:
-            changed = apply_update(hit, plain)
+            changed = apply_update(hit.withColumn(_BEFORE, _json(hit)), plain)
             self.db._replace(self.name, apply_update(df, plain, where), changed.select(F.lit("update").alias("op"), *_image(changed)))
         return n
 
@@ -269,9 +269,18 @@ class Collection:
         return self.delete_many({field: {"$lte": (now or datetime.datetime.now(datetime.UTC).replace(tzinfo=None)) - datetime.timedelta(seconds=seconds)}})
 
 
-def _image(df: DataFrame) -> list:
+_BEFORE = "__before"
+
+
+def _json(df: DataFrame) -> Column:
+    return F.to_json(F.struct(*[F.col(f"`{c}`") for c in df.columns if c != _BEFORE]))
+
+
+def _image(df: DataFrame) -> list[Column]:
+    """Key, document and, for updates, the document before."""
     key = F.col("_id").cast("string") if "_id" in df.columns else F.lit(None).cast("string")
-    return [key.alias("key"), F.to_json(F.struct(*[F.col(f"`{c}`") for c in df.columns])).alias("document")]
+    before = F.col(_BEFORE) if _BEFORE in df.columns else F.lit(None).cast("string")
+    return [key.alias("key"), _json(df).alias("document"), before.alias("before")]
 
 
 class Database:
@@ -338,7 +347,7 @@ class Database:
             numbered = rows.coalesce(1) if n < 100_000 else rows
             numbered = numbered.withColumn("seq", F.monotonically_increasing_id() + F.lit(start + 1))
             top = numbered.agg(F.max("seq")).first()[0]
-            numbered.select("seq", "op", "ns", "key", "document", F.lit(None).cast("string").alias("before"), F.current_timestamp().alias("ts")).write.mode("append").parquet(self._log)
+            numbered.select("seq", "op", "ns", "key", "document", "before", F.current_timestamp().alias("ts")).write.mode("append").parquet(self._log)
             self._catalog["seq"] = max(start, top or start)
             files.delete(self.spark, path)
 

@@ -14,7 +14,7 @@ from .functions.geo import meters
 from .functions.paths import of
 from .functions.times import micros, millis
 from .functions.updates import apply_update
-from .operators import relations, search, stores, timeseries, vectors, versions
+from .operators import kv, relations, search, stores, timeseries, vectors, versions
 from .operators.pipeline import run_pipeline, tables_in
 from .plans.builders import Aggregate, FilterBuilder, Query, UpdateBuilder
 from .plans.select import find, run_select
@@ -724,5 +724,50 @@ def _(s: SparkSession, d: str) -> DataFrame:
     return stores.infer_schema(table(s, d, "nation")).select("field", "present", "nulls")
 
 
+_kv = "(SELECT event_id AS seq, user_id AS key, CASE event_type WHEN 'purchase' THEN 'set' WHEN 'signup' THEN 'setnx' WHEN 'error' THEN 'del' ELSE 'incr' END AS op, CAST(event_id % 10 AS BIGINT) AS value FROM events)"
+
+
+@query("kv_replay", f"""WITH a AS (SELECT *, lag(op) OVER w AS was FROM {_kv} WINDOW w AS (PARTITION BY key ORDER BY seq)),
+b AS (SELECT *, op IN ('set', 'del') OR (op = 'setnx' AND (was IS NULL OR was = 'del')) AS reset FROM a), c AS (SELECT * FROM b WHERE reset OR op = 'incr'),
+r AS (SELECT key, max(seq) FILTER (reset) AS top FROM c GROUP BY 1), d AS (SELECT c.* FROM c JOIN r USING (key) WHERE top IS NULL OR seq >= top)
+SELECT key, CAST(sum(CASE WHEN op = 'del' THEN 0 ELSE value END) AS BIGINT) AS value FROM d GROUP BY 1 HAVING count(*) FILTER (op <> 'del') > 0""")
+def _(s: SparkSession, d: str) -> DataFrame:
+    kind = F.when(F.col("event_type") == "purchase", "set").when(F.col("event_type") == "signup", "setnx").when(F.col("event_type") == "error", "del").otherwise("incr")
+    log = table(s, d, "events").select(F.col("event_id").alias("seq"), F.col("user_id").alias("key"), kind.alias("op"), (F.col("event_id") % 10).alias("value"))
+    return kv.replay(log, ["key"])
+
+
+@query("token_bucket")
+def _(s: SparkSession, d: str) -> DataFrame:
+    return kv.token_bucket(table(s, d, "events"), "user_id", "ts", "event_id", 1 / 86_400, 2)
+
+
+@query("pub_sub", "SELECT event_id, CAST((event_type = 'click') AS INT) + CAST(contains(event_type, 'i') AS INT) + 1 AS delivered FROM events")
+def _(s: SparkSession, d: str) -> DataFrame:
+    return kv.published(table(s, d, "events").withColumn("channel", F.col("event_type")), ["click", "*i*", "*"]).select("event_id", "delivered")
+
+
+@query("queue_metrics", "SELECT count(*) FILTER (event_type = 'purchase') AS processed, count(*) FILTER (event_type = 'error') AS failed, CAST(round(avg(value) FILTER (event_type = 'purchase')) AS BIGINT) AS latency FROM events")
+def _(s: SparkSession, d: str) -> DataFrame:
+    state = F.when(F.col("event_type") == "purchase", "processed").when(F.col("event_type") == "error", "failed")
+    return stores.queue_metrics(table(s, d, "events").select(state.alias("state"), F.col("value").alias("latency_ms"))).select("processed", "failed", "latency")
+
+
+@query("audit_log", "SELECT event_id FROM events WHERE event_type = 'error' ORDER BY ts DESC, event_id DESC LIMIT 20")
+def _(s: SparkSession, d: str) -> DataFrame:
+    return stores.audit(table(s, d, "events").withColumn("op", F.col("event_type")).withColumn("seq", F.col("event_id")), "error", 20).select("event_id")
+
+
+@query("field_access", "SELECT c_custkey, c_name FROM customer")
+def _(s: SparkSession, d: str) -> DataFrame:
+    return stores.visible(table(s, d, "customer"), {"c_custkey", "c_name", "c_secret"})
+
+
+@query("zone_map", "SELECT count(*) AS rows, min(o_orderkey) AS lo, max(o_orderkey) AS hi FROM orders")
+def _(s: SparkSession, d: str) -> DataFrame:
+    zones = kv.may_match(kv.zone_map(table(s, d, "orders"), ["o_orderkey"]), "o_orderkey", lo=10)
+    return zones.select("rows", F.col("lo_o_orderkey").alias("lo"), F.col("hi_o_orderkey").alias("hi"))
+
+
 assert set(ORACLE) <= set(QUERIES)
 __all__ = ["BENCH", "FUNCTIONS", "ORACLE", "QUERIES", "compile_filter", "match_group_sort"]

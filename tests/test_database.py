@@ -32,6 +32,8 @@ def test_documents(db):
     assert users.find_one_and_delete({"_id": "4"})["age"] == 2
     assert users.delete_many({"age": {"$lt": 30}}) == 1
     assert sorted(r["op"] for r in db.changes(collection="users").collect()).count("insert") == 4
+    first = db.changes(collection="users").where("op = 'update'").first()
+    assert (json.loads(first["before"])["age"], json.loads(first["document"])["age"]) == (30.0, 31.0)
     seqs = [r["seq"] for r in db.changes().collect()]
     assert seqs == sorted(set(seqs))
     assert users.insert_many([{"_id": "9"}], session=("s", 1)) == users.insert_many([{"_id": "9"}], session=("s", 1))

@@ -200,3 +200,20 @@ def test_stores(spark):
     jobs = spark.createDataFrame([("1", "processed", 10.0), ("2", "processed", 15.0), ("3", "failed", None)], "id string, state string, latency_ms double")
     m = stores.queue_metrics(jobs).first()
     assert (m["processed"], m["failed"], m["latency"]) == (2, 1, 13)
+
+
+def test_keys_and_buckets(spark):
+    import datetime
+
+    from docplan.operators import kv
+
+    log = spark.createDataFrame([(1, "a", "incr", 2), (2, "a", "incr", 3), (1, "b", "set", 5), (2, "b", "setnx", 9), (3, "b", "incr", 1), (1, "c", "set", 1), (2, "c", "del", 0), (1, "d", "del", 0), (2, "d", "setnx", 4), (3, "d", "setnx", 5)], "seq long, key string, op string, value long")
+    assert dict(kv.replay(log, ["key"]).collect()) == {"a": 5, "b": 6, "d": 4}
+    t0 = datetime.datetime(2024, 1, 1)
+    timed = spark.createDataFrame([(1, "a", "set", 1, t0), (2, "a", "expire", 60, t0), (1, "b", "set", 2, t0), (2, "b", "expire", 600, t0), (1, "c", "expire", 1, t0), (2, "c", "set", 3, t0)], "seq long, key string, op string, value long, ts timestamp")
+    assert dict(kv.replay(timed, ["key"], F.lit(t0 + datetime.timedelta(seconds=120))).collect()) == {"b": 2, "c": 3}
+    e = spark.createDataFrame([("u", k, t0 + datetime.timedelta(seconds=s)) for k, s in enumerate((0, 0, 0, 1, 1, 30))], "u string, id long, ts timestamp")
+    got = {r["id"]: r["allowed"] for r in kv.token_bucket(e, "u", "ts", "id", 1.0, 2).collect()}
+    assert got == {0: True, 1: True, 2: False, 3: True, 4: False, 5: True}
+    for kind in ("uuid", "snowflake", "increment"):
+        assert kv.with_ids(spark.range(5000), kind).select("_id").distinct().count() == 5000
