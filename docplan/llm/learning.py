@@ -2,28 +2,43 @@
 
 from __future__ import annotations
 
+import pickle
 import re
-from collections.abc import Callable
+import zlib
+from collections.abc import Callable, Iterable, Iterator
+from typing import Any
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fold, texts
+from .common import fold, map_frames, texts
 
 #: Words that a Python worker keeps what it knows of; a bound on memory, without effect on results.
 WORDS_KEPT = 400_000
 
 
-def sample(documents: DataFrame, labels: DataFrame, label: str, modulus: int, held_out: int, rows: int) -> pd.DataFrame:
-    """text and y of at most `rows` labelled documents outside the held-out fold, those first by a hash of their identifier. Only their
+def sample(documents: DataFrame, labels: DataFrame, label: str, modulus: int, held_out: int, rows: int) -> DataFrame:
+    """doc_id, text and y of at most `rows` labelled documents outside the held-out fold, those first by a hash of their identifier. Only their
     identifiers, a bounded number, are broadcast; rows without identifier, label or text teach nothing."""
     known = labels.select(F.col("doc_id"), F.col(label).cast("int").alias("y")).where(F.col("doc_id").isNotNull() & F.col("y").isNotNull())
     known = known.groupBy("doc_id").agg(F.max("y").alias("y")).where(fold(F.col("doc_id"), modulus) != held_out)
     some = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
-    found = documents.select("doc_id", "text").where("text IS NOT NULL").join(F.broadcast(some), "doc_id").dropDuplicates(["doc_id"]).select("doc_id", "text", "y").toPandas()
-    return found.sort_values("doc_id", ignore_index=True)
+    found = documents.select("doc_id", F.col("text").cast("string").alias("text")).where("text IS NOT NULL")
+    return found.join(F.broadcast(some), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.first("y").alias("y"))
+
+
+def trained(rows: DataFrame, fit: Callable[[pd.DataFrame], Any]) -> Any:
+    """What fit makes of a bounded sample, sorted by doc_id. It runs in one task, so that the driver holds the model only."""
+
+    def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        many = list(batches)
+        if many:
+            yield pd.DataFrame({"model": [zlib.compress(pickle.dumps(fit(pd.concat(many, ignore_index=True).sort_values("doc_id", ignore_index=True))), 1)]})
+
+    found = map_frames(rows.repartition(1), run, "model binary").first()
+    return pickle.loads(zlib.decompress(found["model"])) if found else fit(pd.DataFrame({c: [] for c in rows.columns}))
 
 
 class Words(dict):

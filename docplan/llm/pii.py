@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import map_frames, texts
-from .learning import hashed
+from .learning import hashed, trained
 
 #: Documents that potentials are trained on at most.
 ROWS = 6000
@@ -252,8 +252,8 @@ def fit(many: list[str], steps: int = 150, rate: float = 0.3, ridge: float = 1e-
 def train(documents: DataFrame, rows: int = ROWS) -> Field:
     """From the documents that are first by a hash of their identifier."""
     some = documents.select("doc_id").where("doc_id IS NOT NULL").orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows).distinct()
-    found = documents.select("doc_id", F.col("text").cast("string").alias("text")).where(F.col("text").rlike("[0-9@]")).join(F.broadcast(some), "doc_id", "left_semi").toPandas()
-    return fit(found.sort_values("doc_id")["text"].tolist())
+    found = documents.select("doc_id", F.col("text").cast("string").alias("text")).where(F.col("text").rlike("[0-9@]")).join(F.broadcast(some), "doc_id", "left_semi")
+    return trained(found, lambda x: fit(x["text"].tolist()))
 
 
 def all_spans(field: Field, many: list[str], sure: float = SURE) -> list[tuple[list[Span], list[Span]]]:

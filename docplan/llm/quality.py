@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 
 from .common import map_frames
-from .learning import Words, calibrate, hashed, held, laid, logistic, sample
+from .learning import Words, calibrate, hashed, held, laid, logistic, sample, trained
 
 #: Labelled documents that the model is fitted to at most.
 ROWS = 8000
@@ -156,8 +156,7 @@ def fit(many: list[str], y: np.ndarray, cost: float = 1.0, smooth: float = 1.0,
 
 def score(documents: DataFrame, labels: DataFrame, rows: int = ROWS, cut: float = 0.5) -> DataFrame:
     """doc_id, held_out, score and predicted for every document."""
-    known = sample(documents, labels, "quality", FOLDS, HELD_OUT, rows)
-    model = fit(known["text"].tolist(), known["y"].to_numpy())
+    model = trained(sample(documents, labels, "quality", FOLDS, HELD_OUT, rows), lambda x: fit(x["text"].tolist(), x["y"].to_numpy(int)))
     t = held(documents, FOLDS, HELD_OUT)
 
     def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -21,10 +21,10 @@ import pandas as pd
 from pyspark.sql import DataFrame
 
 from .common import map_frames
-from .learning import Words, calibrate, hashed, held, laid, logistic, plain_words, sample
+from .learning import Words, calibrate, hashed, held, laid, logistic, plain_words, sample, trained
 
 #: Labelled documents that the model is fitted to at most.
-ROWS = 8000
+ROWS = 5000
 BITS = 18
 FOLDS, HELD_OUT = 4, 2
 CUT = 0.3
@@ -161,7 +161,9 @@ def toxic_words(many: list[str], y: np.ndarray) -> set[str]:
                 toxic[x] = toxic.get(x, 0) + 1
         if label:
             for a, b, c in zip(["", *w[:-1]], w, [*w[1:], ""], strict=True):
-                near.setdefault(b, set()).add((a, c))
+                pairs = near.setdefault(b, set())
+                if len(pairs) < NEIGHBOURS:  # more aren't asked for
+                    pairs.add((a, c))
     return {w for w, k in toxic.items() if k >= DOCUMENTS and k >= SHARE * every[w] and len(near[w]) >= NEIGHBOURS}
 
 
@@ -187,8 +189,8 @@ def fit(many: list[str], y: np.ndarray, steps: int = 40, rate: float = 0.5, ridg
     f, at = rows_of(lines)
     target = np.array(labels, float)
     f += np.arange(len(KINDS)) * size
-    used, f = np.unique(f, return_inverse=True)
-    f = f.reshape(-1, len(KINDS))
+    used = np.unique(f)
+    f = np.searchsorted(used, f).astype(np.int32)
     first = np.zeros(len(target), bool)
     first[at[:-1]] = True
     link = np.flatnonzero(~first[1:])
@@ -216,8 +218,7 @@ def fit(many: list[str], y: np.ndarray, steps: int = 40, rate: float = 0.5, ridg
 
 
 def train(documents: DataFrame, labels: DataFrame, rows: int = ROWS) -> Tagger:
-    known = sample(documents, labels, "toxic", FOLDS, HELD_OUT, rows)
-    return fit(known["text"].tolist(), known["y"].to_numpy())
+    return trained(sample(documents, labels, "toxic", FOLDS, HELD_OUT, rows), lambda x: fit(x["text"].tolist(), x["y"].to_numpy(int)))
 
 
 def score(documents: DataFrame, tagger: Tagger, cut: float = CUT, span: float = SPAN) -> DataFrame:
