@@ -33,8 +33,10 @@ from .superkmer import flat_words, hashes, mixed
 
 N = 4
 PERCENT = 85
+#: Texts whose shingles travel together; their numbers among these have two bytes.
+TEXTS = 4096
 #: Shingles of a block of a large cluster.
-BLOCK = 400_000
+BLOCK = 200_000
 #: Positions of a block of an index list.
 SKIP = 16
 
@@ -119,7 +121,7 @@ def _scatter(t: DataFrame, n: int, buckets: int) -> DataFrame:
     kind = t.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for x in batches:
+        for x in (whole.iloc[k : k + TEXTS] for whole in batches for k in range(0, len(whole), TEXTS)):
             codes, at = shingles(x["text"].tolist(), n)
             size = np.diff(at)
             sets = [digest(codes[a:b]) if b > a else None for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
@@ -358,7 +360,8 @@ def link(df: DataFrame, key: str = "doc_id", text: str = "text", n: int = N, per
     """doc_id, n_shingles, component_id and n_links: of each document its set's size, the smallest identifier that it reaches by links,
     and how many other documents it links with. A link of more than one task is never between the same two sets twice."""
     t = texts(df, key, text)
-    told = stored(_buckets(_scatter(t, n, (k := partitions(df))).repartition(k, "bucket")), "shingles")
+    # several buckets for each partition, for hashing deals them out unevenly
+    told = stored(_buckets(_scatter(t, n, 4 * partitions(df)).repartition(partitions(df), "bucket")), "shingles")
     docs = told.where(F.col("kind") == DOC).select("doc_id", "set", "n")
     sets = stored(docs.where("n > 0").groupBy("set").agg(F.min("doc_id").alias("least"), F.count("*").alias("c")), "sets")
     some = stored(_gather(told.where(F.col("kind") != DOC), percent).groupBy("set").agg(F.first("n").alias("n"), F.first("codes").alias("codes")), "some")
