@@ -1,25 +1,29 @@
 """N-gram Jaccard join by set-relation skipping.
 
-Two documents link when the Jaccard similarity of their sets of word shingles is at least `percent` / 100, exactly, in integers. The
-join runs on distinct sets; equal sets are one with a weight.
-
-1. Every shingle's hash goes once to the bucket of that hash, packed with others of its bucket; shingles that occur again in an Arrow
-   batch go as one. Buckets tell which shingles occur in more than one text. Only sets whose shared shingles could reach the threshold
-   stay: in ordinary prose few do, and of those only the shared shingles matter from here on.
-2. Shared shingles are ordered by document frequency. Two linked sets share a shingle of their prefixes, so sets that meet in a prefix
-   list, directly or through others, form a cluster, and all links lie within clusters.
-3. A cluster, or for large clusters a pair of its blocks, is joined in one task over index lists that are cut into blocks by position:
+Two documents link when the Jaccard similarity of their sets of word shingles is at least `percent` / 100, exactly, in integers, over
+shingles as 64-bit numbers. The join runs on distinct sets; equal sets are one with a weight.
+
+1. Every shingle goes once to the bucket of its number, packed with others of its bucket; shingles that occur again in a batch go as
+   one. Buckets tell which shingles occur in more than one text, and how often. Only sets whose shared shingles could reach the
+   threshold stay: in ordinary prose few do, and of those only the shared shingles matter from here on.
+2. A set's shared shingles are ordered by frequency, rare ones first; two linked sets share a shingle of their prefixes. Sets are at home
+   in blocks: by their least shingle and their size, large homes cut up. The prefix lists tell, for each shingle, which blocks have it,
+   how much overlap may be left behind it there, and the least size; a set visits the other blocks of its lists that can hold a partner.
+   So lists are looked up by block, not by row, and neither a crowded list nor a chain of lists makes one large task.
+3. Each block, with its visitors dealt out in chunks, is joined in one task over index lists that are cut into blocks by position:
    blocks whose positions can't leave enough overlap are skipped whole. The answers of a set are derived from those of a highly similar
    set that is already answered: known overlaps are corrected by the lists of the few shingles in which the two differ.
 4. Tasks return a spanning forest of the links that they found, and each set's number of links; components() finishes the classes.
 
-Documents without words or text have empty sets and link with nothing; with fewer words than a shingle, the whole sequence is one.
-Rows may repeat, also with equal identifiers. A null identifier takes part like any other, but the smallest of a class is taken among
-those that aren't null. An empty table gives an empty result; other columns are ignored."""
+Neither the number of partitions nor how the rows lie in them changes the result. Documents without words or text have empty sets and
+link with nothing; with fewer words than a shingle, the whole sequence is one. Texts are taken whole; batches are bounded by bytes, so
+memory grows with the longest text alone. Rows may repeat, also with equal identifiers. A null identifier takes part like any other, but
+the smallest of a class is taken among those that aren't null. An empty table gives an empty result; other columns are ignored."""
 
 from __future__ import annotations
 
 import hashlib
+import math
 import re
 from collections.abc import Iterable, Iterator
 
@@ -28,15 +32,15 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, map_frames, partitions, stored, texts
+from .common import components, forget, kind_of, map_frames, partitions, rows_of, stored, struct, texts
 from .superkmer import flat_words, hashes, mixed
 
 N = 4
 PERCENT = 85
-#: Texts whose shingles travel together; their numbers among these have two bytes.
-TEXTS = 4096
-#: Shingles of a block of a large cluster.
-BLOCK = 200_000
+#: Shingles of a block, and of the visitors that meet it in one task.
+BLOCK = 25_000
+#: Buckets of shingles for each partition; a task holds one at a time.
+BUCKETS = 8
 #: Positions of a block of an index list.
 SKIP = 16
 
@@ -82,22 +86,11 @@ def least_overlap(n: np.ndarray | int, percent: int) -> np.ndarray | int:
     return -(-percent * n // 100)
 
 
-def pack40(codes: np.ndarray) -> bytes:
-    """The low 40 bits of each code."""
-    return np.ascontiguousarray(codes.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5]).tobytes()
-
-
-def unpack40(data: bytes) -> np.ndarray:
-    out = np.zeros((len(data) // 5, 8), np.uint8)
-    out[:, :5] = np.frombuffer(data, np.uint8).reshape(-1, 5)
-    return out.reshape(-1).view("<u8").astype(np.uint64)
-
-
 def by_run(batches: Iterable[pd.DataFrame], keys: list[str]) -> Iterator[pd.DataFrame]:
     """Sorted rows again, but no run of equal keys is cut: each frame holds one or more whole runs."""
     rest: list[pd.DataFrame] = []
     for x in batches:
-        last = (x[keys] == x[keys].iloc[-1]).all(axis=1)
+        last = np.logical_and.reduce([(x[k] == x[k].iloc[-1]).to_numpy(bool) for k in keys])
         if not last.all() or rest and (rest[-1][keys].iloc[-1] != x[keys].iloc[0]).any():
             head = pd.concat([*rest, x[~last]], ignore_index=True)
             if len(head):
@@ -115,13 +108,12 @@ _columns = ["kind", "bucket", "batch", "doc_id", "set", "n", "a", "b", "c"]
 
 
 def _scatter(t: DataFrame, n: int, buckets: int) -> DataFrame:
-    """From each Arrow batch: DOC rows (doc_id, set, n); a BATCH row with the sets (a: digests, b: sizes) and, by set, the shingles that
-    are known to be shared as the batch has them twice (c); and for each bucket a BUCKET row with the codes it gets, one for each
-    distinct shingle (a), the set of each (b) and whether it is known to be shared (c)."""
-    kind = t.schema["doc_id"].dataType.simpleString()
+    """From each batch: DOC rows (doc_id, set, n); a BATCH row with the sets (a: digests, b: sizes) and, by set, the shingles that the
+    batch has in more than one (c: sets, then codes); and for each bucket a BUCKET row with the codes it gets, one for each distinct
+    shingle (a), the set of each (b) and whether the batch has it again (c)."""
 
     def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for x in (whole.iloc[k : k + TEXTS] for whole in batches for k in range(0, len(whole), TEXTS)):
+        for x in batches:
             codes, at = shingles(x["text"].tolist(), n)
             size = np.diff(at)
             sets = [digest(codes[a:b]) if b > a else None for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
@@ -129,7 +121,7 @@ def _scatter(t: DataFrame, n: int, buckets: int) -> DataFrame:
             for i, s in enumerate(sets):
                 if s is not None:
                     first.setdefault(s, i)
-            yield pd.DataFrame({"kind": DOC, "bucket": np.arange(len(x)) % buckets, "batch": 0, "doc_id": x["doc_id"].to_numpy(), "set": sets, "n": size, "a": None, "b": None, "c": None})
+            yield pd.DataFrame({"kind": DOC, "bucket": np.arange(len(x)) % buckets, "batch": 0, "doc_id": x["doc_id"], "set": sets, "n": size, "a": None, "b": None, "c": None})
             if not first:
                 continue
             chosen = np.array(list(first.values()))
@@ -144,94 +136,142 @@ def _scatter(t: DataFrame, n: int, buckets: int) -> DataFrame:
             known = ~new
             known[:-1] |= ~new[1:]
             batch = int.from_bytes(hashlib.blake2b(b"".join(first), digest_size=8).digest(), "big", signed=True)
-            bucket = ((codes >> np.uint64(40)) % np.uint64(buckets)).astype(np.int64)
-            rows = [(BATCH, batch % buckets, batch, None, None, len(chosen), b"".join(first), size[chosen].astype("<u4").tobytes(), owner[known].astype("<u2").tobytes() + ids(codes[known], bucket[known]).astype("<i8").tobytes())]
-            codes, owner, known, bucket = codes[new], owner[new], known[new], bucket[new]
+            rows = [(BATCH, batch % buckets, batch, None, None, len(chosen), b"".join(first), size[chosen].astype("<u4").tobytes(), owner[known].astype("<u2").tobytes() + codes[known].astype("<u8").tobytes())]
+            codes, owner, known = codes[new], owner[new], known[new]
+            bucket = (codes % np.uint64(buckets)).astype(np.int64)
             order = np.lexsort((owner, bucket))
-            codes, owner, known, bucket = codes[order], owner[order], known[order], bucket[order]
+            codes, owner, known, bucket = codes[order].astype("<u8"), owner[order].astype("<u2"), known[order], bucket[order]
             cuts = np.searchsorted(bucket, np.arange(buckets + 1)).tolist()
             for b, (lo, hi) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)):
                 if hi > lo:
-                    rows.append((BUCKET, b, batch, None, None, hi - lo, pack40(codes[lo:hi]), owner[lo:hi].astype("<u2").tobytes(), np.packbits(known[lo:hi]).tobytes()))
-            yield pd.DataFrame(rows, columns=_columns)
-
-    return map_frames(t, run, f"kind int, bucket int, batch long, doc_id {kind}, set binary, n int, a binary, b binary, c binary")
-
+                    rows.append((BUCKET, b, batch, None, None, hi - lo, codes[lo:hi].tobytes(), owner[lo:hi].tobytes(), np.packbits(known[lo:hi]).tobytes()))
+            yield rows_of(rows, _columns)
 
-def ids(codes: np.ndarray, bucket: np.ndarray | int) -> np.ndarray:
-    """A shingle's number: its bucket and 40 bits of its hash. Two shingles of one pair of sets share one about once in 10 ** 9 pairs."""
-    return (codes & np.uint64((1 << 40) - 1)).astype(np.int64) | (np.asarray(bucket, np.int64) << 40)
+    return map_frames(t, run, struct(kind="int", bucket="int", batch="long", doc_id=kind_of(t), set="binary", n="int", a="binary", b="binary", c="binary"))
 
 
 def _buckets(dealt: DataFrame) -> DataFrame:
-    """BUCKET rows come back as the shingles (a: numbers, b: sets) that another set has as well; the other rows as they are."""
+    """BUCKET rows come back with only the shingles that another set has as well (a: codes, b: sets) and how often each occurs, a set
+    twice where its batch has it again (c); the other rows as they are."""
 
     def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for x in by_run(batches, ["bucket"]):
             plain = x[x["kind"] != BUCKET]
             if len(plain):
                 yield plain[_columns]
-            rows = []
             for b, part in x[x["kind"] == BUCKET].groupby("bucket"):
-                codes = [unpack40(a) for a in part["a"]]
-                known = np.concatenate([np.unpackbits(np.frombuffer(c, np.uint8), count=len(y)).astype(bool) for c, y in zip(part["c"], codes, strict=True)])
-                every = np.concatenate(codes)
+                every = np.frombuffer(b"".join(part["a"]), "<u8")
+                size = part["n"].to_numpy(int)
+                known = np.concatenate([np.unpackbits(np.frombuffer(c, np.uint8), count=k) for c, k in zip(part["c"], size.tolist(), strict=True)])
                 _, place, count = np.unique(every, return_inverse=True, return_counts=True)
-                shared = (np.bincount(place, known, len(count)) > 0) | (count > 1)
-                hit = shared[place] & ~known
-                at = 0
-                for batch, y, owners in zip(part["batch"], codes, part["b"], strict=True):
-                    mine = hit[at : at + len(y)]
-                    at += len(y)
+                count = (count + np.bincount(place, known, len(count)).astype(np.int64))[place]
+                at, rows = 0, []
+                for batch, k, owners in zip(part["batch"], size.tolist(), part["b"], strict=True):
+                    often = count[at : at + k]
+                    mine = often > 1
                     if mine.any():
-                        rows.append((BUCKET, b, batch, None, None, int(mine.sum()), ids(y[mine], b).astype("<i8").tobytes(), np.frombuffer(owners, "<u2")[mine].tobytes(), None))
-            if rows:
-                yield pd.DataFrame(rows, columns=_columns)
+                        rows.append((BUCKET, b, batch, None, None, int(mine.sum()), every[at : at + k][mine].tobytes(), np.frombuffer(owners, "<u2")[mine].tobytes(), np.minimum(often[mine], 2**32 - 1).astype("<u4").tobytes()))
+                    at += k
+                if rows:
+                    yield rows_of(rows, _columns)
 
-    return map_frames(dealt.sortWithinPartitions("bucket"), run, dealt.schema.simpleString()[7:-1].replace(":", " ").replace(",", ", "))
+    return map_frames(dealt.sortWithinPartitions("bucket"), run, dealt.schema)
 
 
 def _gather(told: DataFrame, percent: int) -> DataFrame:
-    """(set, n, codes): the sets of each Arrow batch with enough shared shingles to link with any other."""
+    """(set, n, codes): the sets of each batch with enough shared shingles to link with any other, rare shingles first."""
 
     def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for x in by_run(batches, ["batch"]):
             rows = []
             for _, part in x.groupby("batch"):
-                heads = part[part["kind"] == BATCH]
-                head = heads.iloc[0]  # equal batches, of repeated rows, have one number and the same sets
+                head = part[part["kind"] == BATCH].iloc[0]  # equal batches, of repeated rows, have one number and the same sets
                 m = int(head["n"])
                 rest = np.frombuffer(head["c"], np.uint8)
                 k = len(rest) // 10
                 answers = part[part["kind"] == BUCKET]
-                owner = np.concatenate([rest[: 2 * k].view("<u2"), *(np.frombuffer(b, "<u2") for b in answers["b"])]).astype(np.int64)
-                code = np.concatenate([rest[2 * k :].copy().view("<i8"), *(np.frombuffer(a, "<i8") for a in answers["a"])])
+                heard, often = np.frombuffer(b"".join(answers["a"]), "<u8"), np.frombuffer(b"".join(answers["c"]), "<u4")
+                order = np.argsort(heard, kind="stable")
+                heard, often, first = heard[order], often[order], np.frombuffer(b"".join(answers["b"]), "<u2")[order]
+                owner = np.concatenate([rest[: 2 * k].view("<u2"), first]).astype(np.int64)
+                code = np.concatenate([rest[2 * k :].copy().view("<u8"), heard])
                 n = np.frombuffer(head["b"], "<u4").astype(np.int64)
                 order = np.lexsort((code, owner))
                 owner, code = owner[order], code[order]
                 new = np.ones(len(code), bool)
                 new[1:] = (code[1:] != code[:-1]) | (owner[1:] != owner[:-1])
                 owner, code = owner[new], code[new]
+                order = np.lexsort((code, often[np.searchsorted(heard, code)] if len(code) else code, owner))
+                owner, code = owner[order], code[order].view(np.int64)
                 at = np.searchsorted(owner, np.arange(m + 1))
                 for i in np.flatnonzero(np.diff(at) >= least_overlap(n, percent)).tolist():
                     rows.append((head["a"][16 * i : 16 * i + 16], int(n[i]), code[at[i] : at[i + 1]]))
             if rows:
-                yield pd.DataFrame(rows, columns=["set", "n", "codes"])
+                yield rows_of(rows, ["set", "n", "codes"])
+
+    return map_frames(told.repartition(partitions(told), "batch").sortWithinPartitions("batch"), run, struct(set="binary", n="int", codes="array<bigint>"))
+
+
+# ---- 2. blocks and their visitors
 
-    return map_frames(told.repartition(partitions(told), "batch").sortWithinPartitions("batch"), run, "set binary, n int, codes array<long>")
 
+def _blocks(some: DataFrame, percent: int, block: int) -> DataFrame:
+    """some with the block that each set is at home in, and the class of its size: linked sets are of one class or of two next to each
+    other. A home is cut into as many blocks as it needs; only homes that need several are joined."""
+    step = max(math.log(100 / percent), 1e-9) * 1.0001
+    at = some.withColumn("home", F.array_min("codes")).withColumn("class", F.floor(F.log("n") / step))
+    large = at.groupBy("home", "class").agg(F.ceil(F.sum(F.size("codes")) / block).alias("parts")).where("parts > 1")
+    part = F.pmod(F.xxhash64("set"), F.coalesce("parts", F.lit(1)))
+    return at.join(large, ["home", "class"], "left").withColumn("block", F.xxhash64("home", "class", part)).drop("home", "parts")
 
-# ---- 3. the join of a block, or of a pair of blocks
+
+def _visits(homes: DataFrame, percent: int) -> DataFrame:
+    """(set, block): the other blocks where a set may have a partner. Of two blocks the set of the larger number visits."""
+    prefix = F.greatest(F.lit(0), F.size("codes") - F.ceil(F.col("n") * percent / 100) + 1).cast("int")
+    lists = homes.select("set", "n", "class", "block", F.size("codes").alias("m"), F.posexplode(F.slice("codes", 1, prefix)).alias("at", "code"))
+    lists = lists.select("code", "set", "n", "class", "block", (F.col("m") - F.col("at")).alias("left"))
+    spots = lists.groupBy("code", "block", "class").agg(F.max("left").alias("spot_left"), F.min("n").alias("spot_n"))
+    spots = spots.select("code", F.col("block").alias("spot"), F.col("class").alias("spot_class"), "spot_left", "spot_n")
+    # an overlap behind the first shared shingle is at most what both have left there, and links need percent / (100 + percent) of both sizes
+    enough = F.least("left", "spot_left").cast("long") * (100 + percent) >= (F.col("n").cast("long") + F.col("spot_n")) * percent
+    met = lists.join(spots, "code").where((F.col("spot") < F.col("block")) & (F.abs(F.col("class") - F.col("spot_class")) <= 1) & enough)
+    return met.select("set", F.col("spot").alias("block")).distinct()
+
+
+def _deal(homes: DataFrame, visits: DataFrame, block: int) -> DataFrame:
+    """block, chunk, visitor, set, n, codes, c: each block with each chunk of its visitors; blocks of one set without visitors are left out."""
+    plain = homes.select("block", "set", "n", "codes", "c")
+    guests = visits.join(plain.drop("block"), "set")
+    load = guests.groupBy("block").agg(F.greatest(F.lit(1), F.ceil(F.sum(F.size("codes")) / block)).alias("chunks"))
+    busy = plain.groupBy("block").agg(F.count("*").alias("members")).join(load, "block", "left").where("members > 1 OR chunks IS NOT NULL")
+    members = plain.join(busy.select("block", F.coalesce("chunks", F.lit(1)).alias("chunks")), "block")
+    members = members.withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1))).withColumn("visitor", F.lit(0)).drop("chunks")
+    guests = guests.join(load.where("chunks > 1"), "block", "left").withColumn("chunk", F.pmod(F.xxhash64("set", F.lit(1)), F.coalesce("chunks", F.lit(1)))).withColumn("visitor", F.lit(1)).drop("chunks")
+    return members.unionByName(guests)
+
+
+# ---- 3. the join of a block with its visitors
+
+
+def numbered(group: np.ndarray, code: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A number for each different (group, code), and how often each occurs."""
+    order = np.lexsort((code, group))
+    group, code = group[order], code[order]
+    new = np.ones(len(code), bool)
+    new[1:] = (code[1:] != code[:-1]) | (group[1:] != group[:-1])
+    token = np.empty(len(code), np.int64)
+    token[order] = np.cumsum(new) - 1
+    return token, np.bincount(token, minlength=int(new.sum()))
 
 
 class Block:
-    """Sets of shared shingles with index lists over them. `side` tells the block of each set where two are joined."""
+    """Sets of shared shingles with index lists over them. Sets of different groups share nothing."""
 
-    def __init__(self, codes: list[np.ndarray], n: np.ndarray, weight: np.ndarray, side: np.ndarray, percent: int = PERCENT, slack: int = 8) -> None:
-        self.n, self.weight, self.side, self.percent, self.slack = n.astype(np.int64), weight, side, percent, slack
+    def __init__(self, codes: list[np.ndarray], n: np.ndarray, group: np.ndarray, percent: int = PERCENT, slack: int = 8) -> None:
+        self.n, self.percent, self.slack = n.astype(np.int64), percent, slack
         size = np.array([len(c) for c in codes], np.int64)
         owner = np.repeat(np.arange(len(codes)), size)
-        _, token, count = np.unique(np.concatenate(codes) if codes else np.empty(0, np.int64), return_inverse=True, return_counts=True)
+        token, count = numbered(group[owner], np.concatenate(codes) if codes else np.empty(0, np.int64))
         keep = count[token] > 1  # alone here: no overlap
         owner, token, own = owner[keep], token[keep], count
         rank = np.empty(len(own), np.int64)
@@ -315,16 +355,18 @@ class Block:
         return own
 
 
-def join_block(codes: list[np.ndarray], n: np.ndarray, weight: np.ndarray, side: np.ndarray | None = None, percent: int = PERCENT) -> tuple[list[tuple[int, int]], np.ndarray]:
-    """A spanning forest of the links between the sets, and the weight of each set's links. With sides 0 and 1, links between sides only."""
-    two = side is not None
-    side = side if side is not None else np.zeros(len(n), np.int64)
-    block = Block(codes, n, weight, side, percent)
+def join_block(codes: list[np.ndarray], n: np.ndarray, weight: np.ndarray, group: np.ndarray | None = None, visitor: np.ndarray | None = None, inside: np.ndarray | None = None, percent: int = PERCENT) -> tuple[list[tuple[int, int]], np.ndarray]:
+    """A spanning forest of the links between the sets, and the weight of each set's links. Links are within a group: those of members
+    with visitors, and where `inside` holds those among members as well."""
+    group = np.zeros(len(n), np.int64) if group is None else group
+    visitor = np.zeros(len(n), bool) if visitor is None else visitor
+    inside = np.ones(len(n), bool) if inside is None else inside
     label, links, forest = np.arange(len(n)), np.zeros(len(n), np.int64), []
-    for x, found in block.answers(np.flatnonzero(side == 0)):
-        if two:
-            found = found[side[found] == 1]
-            np.add.at(links, found, weight[x])
+    for x, found in Block(codes, n, group, percent).answers(np.flatnonzero(~visitor)):
+        guests = found[visitor[found]]
+        np.add.at(links, guests, weight[x])  # they don't ask themselves
+        if not inside[x]:
+            found = guests
         links[x] += weight[found].sum()
         if len(found):
             other, where = np.unique(label[found], return_index=True)
@@ -336,57 +378,37 @@ def join_block(codes: list[np.ndarray], n: np.ndarray, weight: np.ndarray, side:
 
 
 def _join(dealt: DataFrame, percent: int) -> DataFrame:
-    """dealt: root, i, j, blocks, set, n, codes, c, own (the set's block). Small clusters of an Arrow batch are joined together."""
-
-    def solve(x: pd.DataFrame, two: bool) -> pd.DataFrame:
-        side = (x["own"] != x["i"]).to_numpy().astype(np.int64) if two else None
-        names = x["set"].tolist()
-        forest, links = join_block(x["codes"].tolist(), x["n"].to_numpy(), x["c"].to_numpy(), side, percent)
-        rows = [(names[i], None, int(k)) for i, k in enumerate(links.tolist()) if k] + [(names[a], names[b], 0) for a, b in forest]
-        return pd.DataFrame(rows, columns=["a", "b", "links"])
+    """(a, b) of the links' forests, and (a, links). Small blocks of a batch are joined together."""
 
     def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for x in by_run(batches, ["root", "i", "j"]):
-            small = x[x["blocks"] == 1]
-            if len(small):
-                yield solve(small, False)
-            for (_, i, j), part in x[x["blocks"] > 1].groupby(["root", "i", "j"]):
-                yield solve(part, i != j)
+        for x in by_run(batches, ["block", "chunk"]):
+            names, block, chunk = x["set"].tolist(), x["block"].to_numpy(np.int64), x["chunk"].to_numpy(np.int64)
+            new = np.ones(len(x), bool)
+            new[1:] = (block[1:] != block[:-1]) | (chunk[1:] != chunk[:-1])
+            forest, links = join_block(x["codes"].tolist(), x["n"].to_numpy(np.int64), x["c"].to_numpy(np.int64), np.cumsum(new), x["visitor"].to_numpy(np.int64) > 0, chunk == 0, percent)
+            rows = [(names[i], None, int(k)) for i, k in enumerate(links.tolist()) if k] + [(names[a], names[b], 0) for a, b in forest]
+            if rows:
+                yield rows_of(rows, ["a", "b", "links"])
 
-    return map_frames(dealt, run, "a binary, b binary, links long")
+    return map_frames(dealt, run, struct(a="binary", b="binary", links="long"))
 
 
 def link(df: DataFrame, key: str = "doc_id", text: str = "text", n: int = N, percent: int = PERCENT, block: int = BLOCK) -> DataFrame:
     """doc_id, n_shingles, component_id and n_links: of each document its set's size, the smallest identifier that it reaches by links,
-    and how many other documents it links with. A link of more than one task is never between the same two sets twice."""
+    and how many other documents it links with. No link is found in more than one task."""
     t = texts(df, key, text)
-    # several buckets for each partition, for hashing deals them out unevenly
-    told = stored(_buckets(_scatter(t, n, 4 * partitions(df)).repartition(partitions(df), "bucket")), "shingles")
+    parts = partitions(df)
+    told = stored(_buckets(_scatter(t, n, BUCKETS * parts).repartition(parts, "bucket")), "shingles")
     docs = told.where(F.col("kind") == DOC).select("doc_id", "set", "n")
     sets = stored(docs.where("n > 0").groupBy("set").agg(F.min("doc_id").alias("least"), F.count("*").alias("c")), "sets")
-    some = stored(_gather(told.where(F.col("kind") != DOC), percent).groupBy("set").agg(F.first("n").alias("n"), F.first("codes").alias("codes")), "some")
-
-    # 2. shingles of two distinct sets at least, in order of frequency; sets that can still reach the threshold
-    each = some.select("set", "n", F.explode("codes").alias("h"))
-    often = each.groupBy("h").agg(F.count("*").alias("f")).where("f > 1")
-    enough = F.ceil(F.col("n") * percent / 100)
-    ordered = each.join(often, "h").groupBy("set").agg(F.first("n").alias("n"), F.sort_array(F.collect_list(F.struct("f", "h"))).alias("p"))
-    ordered = ordered.where(F.size("p") >= enough).select("set", "n", F.col("p.h").alias("codes"))
-    ordered = stored(ordered.join(sets.select("set", "c"), "set"), "ordered")
-    prefix = F.greatest(F.lit(0), F.size("codes") - enough + 1).cast("int")
-    lists = ordered.select("set", F.explode(F.slice("codes", 1, prefix)).alias("h"))
-    meet = lists.join(lists.groupBy("h").agg(F.min("set").alias("first"), F.count("*").alias("k")).where("k > 1"), "h")
-    near = components(meet.select(F.col("first").alias("a"), F.col("set").alias("b")))
-    member = near.select(F.col("node").alias("set"), "root").union(near.select("root", "root").distinct())
-
-    # 3. clusters in blocks
-    inside = ordered.join(member, "set")
-    blocks = inside.groupBy("root").agg(F.ceil(F.sum(F.size("codes")) / block).cast("int").alias("blocks"))
-    inside = inside.join(blocks, "root").withColumn("own", F.pmod(F.xxhash64("set"), F.col("blocks")).cast("int"))
-    pairs = inside.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    pairs = pairs.withColumn("i", F.least("own", "other")).withColumn("j", F.greatest("own", "other")).drop("other")
-    dealt = pairs.repartition(partitions(df), "root", "i", "j").sortWithinPartitions("root", "i", "j")
-    found = stored(_join(dealt.select("root", "i", "j", "blocks", "set", "n", "codes", "c", "own"), percent), "links")
+    some = _gather(told.where(F.col("kind") != DOC), percent).groupBy("set").agg(F.first("n").alias("n"), F.first("codes").alias("codes"))
+    some = stored(some.join(sets.select("set", "c"), "set"), "some")
+    homes = stored(_blocks(some, percent, block), "homes")
+    forget(some)
+    dealt = _deal(homes, stored(_visits(homes, percent), "visits"), block)
+    dealt = dealt.repartition(parts, "block", "chunk").sortWithinPartitions("block", "chunk")
+    found = stored(_join(dealt.select("block", "chunk", "visitor", "set", "n", "codes", "c"), percent), "links")
+    forget(homes)
 
     # 4. classes
     near = components(found.where("b IS NOT NULL").select("a", "b")).select(F.col("node").alias("set"), "root")
