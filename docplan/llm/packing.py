@@ -1,41 +1,46 @@
 """Variable-capacity best-fit packing of documents into training sequences.
 
-Several sequence lengths are permitted and each has a cost. Pieces go, longest first, into the open bin that they fill best; where none
-has room, the bin is opened whose size costs least for the tokens that it can be expected to hold, given what is still to come; at the
-end each bin is cut down to the smallest permitted size that holds its contents.
+Texts are encoded by the pair occurrence index of `bpe`, and each document ends with an end mark. Several sequence lengths are permitted
+and each has a cost. Pieces go, longest first, into the open bin that they fill best; where none has room, the bin is opened whose size
+costs least for the tokens that it can be expected to hold, given what is still to come; at the end each bin is cut down to the smallest
+permitted size that holds its contents. A sequence has its token ids and its documents' boundaries.
 
-Documents are dealt out over shards of about `shard` documents and packed within them; what a shard wastes at its end doesn't grow with
-it. Documents longer than the largest size are cut into full pieces and a rest. Null and empty texts have one token, the end mark that
-each document gets, so every row is packed. Rows may repeat; each is packed. An empty table gives an empty result; other columns are
-ignored. Which shard a row goes to depends on its identifier, length and input partition, so a third of all rows may be equal."""
+Documents are dealt out over shards of about `shard` bytes of text and packed within them; what a shard wastes at its end doesn't grow
+with it. Documents longer than the largest size are cut into full pieces and a rest, so very long texts are packed whole. Null and empty
+texts have one token, the end mark, so every row is packed. Rows may repeat; each is packed. Ties go by identifier and piece; among bins
+with the same room the one that got it last is taken. An empty table gives an empty result; other columns are ignored. Which shard a
+piece goes to depends on its identifier, tokens and input partition, so a third of all rows may be equal."""
 
 from __future__ import annotations
 
 from bisect import bisect_left, insort
-from collections.abc import Iterable, Iterator, Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark import TaskContext
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import map_frames
+from .bpe import chunks, encoder, vocabulary
+from .common import kind_of, map_frames, struct, texts
 
 SIZES = (512, 1024, 2048, 4096, 8192)
-SHARD = 20_000
+#: Bytes of text of a shard; a task holds one shard's tokens at a time.
+SHARD = 16_000_000
+#: The token that ends a document.
+END = "<|endoftext|>"
 #: Tokens at which attention costs as much as everything else, and what a sequence costs by itself, in tokens.
 ATTENTION, EACH = 16_384, 32
+#: Tokens of the sequences that a task hands over together.
+TOGETHER = 1 << 20
 
 
 def cost(size: int) -> float:
     return size * (1 + size / ATTENTION) + EACH
 
 
-def n_tokens(text: Column) -> Column:
-    """Words and an end mark. Any other column of lengths will do."""
-    return F.regexp_count(F.coalesce(text, F.lit("")), F.lit(r"[^\x20\x09-\x0D]+")).cast("long") + 1
-
-
 def pack(lengths: Sequence[int], sizes: Sequence[int] = SIZES) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Bin and offset of each length, and each bin's size. Lengths are 1 to the largest size."""
     sizes = sorted(sizes)
@@ -80,40 +85,73 @@ def pack(lengths: Sequence[int], sizes: Sequence[int] = SIZES) -> tuple[np.ndarr
     return bins, offsets, np.array([next(z for z in sizes if z >= u) for u in used], np.int64)
 
 
-def pieces(df: DataFrame, sizes: Sequence[int] = SIZES) -> DataFrame:
-    """doc_id, piece, start, n_tokens: each document's full pieces and its rest. df: doc_id, n."""
-    most = max(sizes)
-    cut = df.withColumn("start", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1, F.lit(most).cast("long"))))
-    return cut.select("doc_id", (F.col("start") / most).cast("int").alias("piece"), "start", F.least(F.lit(most), F.col("n") - F.col("start")).cast("long").alias("n_tokens"))
-
-
-def pack_documents(df: DataFrame, key: str = "doc_id", length: Column | None = None, sizes: Sequence[int] = SIZES, shard: int = SHARD) -> DataFrame:
-    """doc_id, piece, start, n_tokens, bin_id, bin_offset, bin_tokens, capacity: where each piece goes."""
+def pieces(df: DataFrame, path: str, shards: int, sizes: Sequence[int] = SIZES, end: str = END) -> DataFrame:
+    """shard, doc_id, piece, start, n and ids (bytes): each document's full pieces and its rest, with the end mark. df: doc_id, text."""
+    most, mark = max(sizes), vocabulary(path).special[end]
+    wide = "<u2" if max(vocabulary(path).words) < 1 << 16 else "<i4"
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        coder, salt = encoder(path), (TaskContext.get().partitionId() if TaskContext.get() else 0)
+        for x in chunks(batches):
+            owner, piece, size, parts = [], [], [], []
+            for k, ids in enumerate(coder.arrays(x["text"].tolist())):
+                ids = np.append(ids, mark).astype(wide)
+                for at in range(0, len(ids), most):
+                    part = ids[at : at + most]
+                    owner.append(k)
+                    piece.append(at // most)
+                    size.append(len(part))
+                    parts.append(part.tobytes())
+            made = pd.DataFrame({"doc_id": x["doc_id"].to_numpy()[owner], "piece": piece, "n": size, "ids": parts})
+            code = pd.util.hash_array(np.array(parts, object), categorize=False) ^ pd.util.hash_array(np.array([f"{i} {j} {salt}" for i, j in zip(made["doc_id"], piece, strict=True)], object), categorize=False)
+            made["start"], made["shard"] = made["piece"] * np.int64(most), (code % np.uint64(shards)).astype(np.int64)
+            yield made
+
+    return map_frames(df, run, struct(shard="long", doc_id=kind_of(df), piece="int", start="long", n="int", ids="binary"))
+
+
+def pack_documents(df: DataFrame, path: str, key: str = "doc_id", text: str = "text", sizes: Sequence[int] = SIZES, shard: int = SHARD, end: str = END) -> DataFrame:
+    """sequence_id, capacity, n_tokens, ids and docs (doc_id, piece, start: the first token's place in its document, offset: its place in
+    the sequence, n_tokens). path: the vocabulary's file."""
     sizes = tuple(sorted(sizes))
-    lengths = df.select(F.col(key).alias("doc_id"), (n_tokens(F.col("text").cast("string")) if length is None else F.greatest(F.lit(1), F.coalesce(length, F.lit(0)))).cast("long").alias("n"))
-    shards = max(1, -(-df.count() // shard))
-    lengths = lengths.withColumn("shard", F.pmod(F.xxhash64("doc_id", "n", F.spark_partition_id()), F.lit(shards)))
-    kind = lengths.schema["doc_id"].dataType.simpleString()
-
-    def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    t = texts(df, key, text)
+    total = t.agg(F.sum(F.octet_length("text") + 1)).first()[0] or 0
+    shards = max(1, -(-total // shard))
+    dealt = pieces(t, path, shards, sizes, end).repartition(min(shards, 100_000), "shard").sortWithinPartitions("shard", F.desc("n"), "doc_id", "piece")
+    wide = "<u2" if max(vocabulary(path).words) < 1 << 16 else "<i4"
+    names = ["doc_id", "piece", "start", "offset", "n_tokens"]
+
+    def done(held: list[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        x = pd.concat(held, ignore_index=True)
+        b, at, capacity = pack(x["n"].to_numpy(), sizes)
+        order = np.lexsort((at, b))
+        cuts = np.searchsorted(b[order], np.arange(len(capacity) + 1))
+        tokens = np.bincount(b, x["n"], len(capacity)).astype(np.int64)
+        docs = [{"doc_id": d, "piece": p, "start": s, "offset": o, "n_tokens": n} for d, p, s, o, n in zip(*(x[c].tolist() for c in names[:3]), at.tolist(), x["n"].tolist(), strict=True)]
+        ids, first = x["ids"].tolist(), int(x["shard"].iloc[0]) << 32
+        k = 0
+        while k < len(capacity):
+            stop = max(k + 1, int(np.searchsorted(np.cumsum(tokens[k:]), TOGETHER, "right")) + k)
+            own = [order[cuts[j] : cuts[j + 1]] for j in range(k, stop)]
+            yield pd.DataFrame({
+                "sequence_id": first + np.arange(k, stop),
+                "capacity": capacity[k:stop],
+                "n_tokens": tokens[k:stop],
+                "ids": [np.frombuffer(b"".join(ids[i] for i in o), wide).astype(np.int32) for o in own],
+                "docs": [[docs[i] for i in o] for o in own],
+            })
+            k = stop
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: list[pd.DataFrame] = []
-
-        def done() -> Iterator[pd.DataFrame]:
-            if not held:
-                return
-            x = pd.concat(held, ignore_index=True)
-            held.clear()
-            b, at, capacity = pack(x["n_tokens"].to_numpy(), sizes)
-            tokens = np.bincount(b, x["n_tokens"], len(capacity)).astype(np.int64)
-            yield pd.DataFrame({"doc_id": x["doc_id"], "piece": x["piece"], "start": x["start"], "n_tokens": x["n_tokens"], "bin_id": (x["shard"].to_numpy() << 32) + b, "bin_offset": at, "bin_tokens": tokens[b], "capacity": capacity[b]})
-
         for x in batches:
             for s, part in x.groupby("shard", sort=False):
                 if held and held[-1]["shard"].iloc[0] != s:
-                    yield from done()
+                    yield from done(held)
+                    held = []
                 held.append(part)
-        yield from done()
+        if held:
+            yield from done(held)
 
-    cut = pieces(lengths.select(F.struct("doc_id", "shard").alias("doc_id"), "n"), sizes).select("doc_id.doc_id", "doc_id.shard", "piece", "start", "n_tokens")
-    dealt = cut.repartition(min(shards, 100_000), "shard").sortWithinPartitions("shard", F.desc("n_tokens"), "doc_id", "piece")
-    return map_frames(dealt, run, f"doc_id {kind}, piece int, start long, n_tokens long, bin_id long, bin_offset long, bin_tokens long, capacity long")
+    docs = T.ArrayType(struct(doc_id=kind_of(t), piece="int", start="long", offset="long", n_tokens="long"))
+    return map_frames(dealt, run, struct(sequence_id="long", capacity="long", n_tokens="long", ids="array<int>", docs=docs))
