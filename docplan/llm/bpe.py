@@ -23,10 +23,10 @@ import pandas as pd
 import regex
 from pyspark.sql import DataFrame
 
-from .common import map_frames, texts
+from .common import kind_of, map_frames, struct, texts
 
-#: Distinct words whose encoding a Python worker keeps; beyond that it starts anew. A bound on memory, without effect on results.
-WORDS_KEPT = 600_000
+#: Bytes of runs of letters whose encoding a Python worker keeps; beyond that it starts anew. A bound on memory, without effect on results.
+RUNS_KEPT = 160 << 20
 #: Characters of text that are gathered before their new words are encoded together.
 CHUNK = 8_000_000
 
@@ -36,6 +36,7 @@ LATIN = "À-ÖØ-öø-ɏ"
 SPACE = "\\t\\n\\x0b\\x0c\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 _any = regex.compile(PATTERN.replace("\\s", SPACE))
 _latin = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[a-z{LATIN}]+|[0-9]|[^{SPACE}a-zA-Z{LATIN}0-9]+")
+_space, _separators = re.compile(f"[{SPACE}]+"), re.compile("[\x1c-\x1f]")  # str.split() takes these four for white space as well
 _beyond = re.compile(rf"[^\x00-\x7f{LATIN}]")
 
 
@@ -180,39 +181,74 @@ def pieces(v: Vocabulary, text: str) -> list[str]:
     return found
 
 
+def all_pieces(v: Vocabulary, runs: list[str]) -> list[list[str]]:
+    """pieces() of many runs without white space, normalised together where no special token or NUL is among them."""
+    whole = "\n".join(runs)
+    if "\0" in whole or any(x in whole for x in v.special):
+        return [pieces(v, r) for r in runs]
+    whole = normal(whole)
+    if _beyond.search(whole):
+        return [[r] if r.isascii() and r.isalpha() else (_any if _beyond.search(r) else _latin).findall(r) for r in whole.split("\n")]
+    return [[r] if r.isascii() and r.isalpha() else _latin.findall(r) for r in whole.split("\n")]
+
+
+def runs_of(text: str) -> list[str]:
+    """What stands between white space. Pieces never cross it, and normalisation doesn't either, so equal runs have equal ids."""
+    return _space.split(text) if _separators.search(text) else text.split()
+
+
 class Encoder:
-    """Encodes many texts, and keeps what it knows about words in between."""
+    """Encodes many texts, and keeps what it knows about runs of letters without white space in between."""
 
-    def __init__(self, path: str, kept: int = WORDS_KEPT) -> None:
-        self.v, self.kept = vocabulary(path), kept
+    def __init__(self, path: str, kept: int = RUNS_KEPT) -> None:
+        self.v, self.kept, self.size = vocabulary(path), kept, 0
         self.listed: dict[str, str] = {}
         self.spoken: dict[str, str] = {}
-
-    def learn(self, words: Iterable[str]) -> None:
-        new = [w for w in words if w not in self.listed]
-        if self.listed and len(self.listed) + len(new) > self.kept:
-            self.listed, self.spoken = {}, {}
-            return self.learn(words)
-        plain = [w[2:] if w[:2] == "\0\0" else w for w in new if not (w[0] == "\0" and w[1:2] != "\0")]
+        self.coded: dict[str, bytes] = {}
+
+    def _new(self, known: dict, split: list[list[str]]) -> Iterator[tuple[str, list[int]]]:
+        """The runs that aren't known, with their ids; all runs where what is known has grown too large and is dropped."""
+        new = set().union(*split).difference(known)
+        if known and self.size + sum(map(len, new)) + 300 * len(new) > self.kept:
+            self.listed, self.spoken, self.coded, self.size = {}, {}, {}, 0
+            new = set().union(*split)
+        new.discard("")
+        self.size += sum(map(len, new)) + 300 * len(new)
+        if not new:
+            return
+        runs = list(new)
+        found = all_pieces(self.v, runs)
+        words = list({w: None for p in found for w in p})
+        plain = [w[2:] if w[:2] == "\0\0" else w for w in words if not (w[0] == "\0" and w[1:2] != "\0")]
         made = iter(encode_words(self.v, plain))
-        for w in new:
-            ids = [self.v.special[w[1:]]] if w[0] == "\0" and w[1:2] != "\0" else next(made)
-            self.listed[w], self.spoken[w] = " ".join([self.v.decimals[i] for i in ids]), " ".join([self.v.words[i] for i in ids])
-        return None
+        ids = {w: [self.v.special[w[1:]]] if w[0] == "\0" and w[1:2] != "\0" else next(made) for w in words}
+        for r, p in zip(runs, found, strict=True):
+            yield r, ids[p[0]] if len(p) == 1 else [i for w in p for i in ids[w]]
 
     def encode(self, many: list[str]) -> Iterator[tuple[int, str, str]]:
         """For each text its number of tokens, its ids in decimals and its decoded text. The ids' text is what decoding starts from."""
-        split = [pieces(self.v, t) for t in many]
-        self.learn(set().union(*split) if split else ())
+        split = [runs_of(t) for t in many]
+        for r, ids in self._new(self.listed, split):
+            self.listed[r], self.spoken[r] = " ".join([self.v.decimals[i] for i in ids]), " ".join([self.v.words[i] for i in ids])
         listed, spoken = self.listed.__getitem__, self.spoken.__getitem__
         split.reverse()
         while split:
-            w = split.pop()
+            w = [x for x in split.pop() if x]
             ids = " ".join(map(listed, w))
             yield (ids.count(" ") + 1 if w else 0), ids, " ".join(map(spoken, w))
 
+    def arrays(self, many: list[str]) -> Iterator[np.ndarray]:
+        """The ids of each text."""
+        split = [runs_of(t) for t in many]
+        for r, ids in self._new(self.coded, split):
+            self.coded[r] = np.array(ids, "<i4").tobytes()
+        self.coded[""] = b""
+        coded = self.coded.__getitem__
+        for w in split:
+            yield np.frombuffer(b"".join(map(coded, w)), "<i4")
+
     def ids(self, many: list[str]) -> list[list[int]]:
-        return [[int(i) for i in x.split()] for _, x, _ in self.encode(many)]
+        return [x.tolist() for x in self.arrays(many)]
 
 
 @lru_cache(2)
@@ -248,9 +284,9 @@ def tokenize(df: DataFrame, path: str, key: str = "doc_id", text: str = "text")
     def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         coder = encoder(path)
         for x in chunks(batches):
-            yield pd.DataFrame({"doc_id": x["doc_id"], "ids": coder.ids(x["text"].tolist())})
+            yield pd.DataFrame({"doc_id": x["doc_id"], "ids": list(coder.arrays(x["text"].tolist()))})
 
-    return map_frames(t, run, f"doc_id {t.schema['doc_id'].dataType.simpleString()}, ids array<int>")
+    return map_frames(t, run, struct(doc_id=kind_of(t), ids="array<int>"))
 
 
 def digests(df: DataFrame, path: str, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -264,7 +300,7 @@ def digests(df: DataFrame, path: str, key: str = "doc_id", text: str = "text") -
             for n, ids, said in coder.encode(x["text"].tolist()):
                 rows.append((n, hashlib.sha256(ids.encode()).hexdigest(), hashlib.sha256(said.encode("utf-8", "surrogatepass")).hexdigest()))
             found = pd.DataFrame(rows, columns=["n_tokens", "ids_sha256", "decoded_sha256"])
-            found.insert(0, "doc_id", x["doc_id"].to_numpy())
+            found.insert(0, "doc_id", x["doc_id"])
             yield found
 
-    return map_frames(t, run, f"doc_id {t.schema['doc_id'].dataType.simpleString()}, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return map_frames(t, run, struct(doc_id=kind_of(t), n_tokens="long", ids_sha256="string", decoded_sha256="string"))
