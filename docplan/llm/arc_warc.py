@@ -7,7 +7,7 @@ that a WARC writer would have given it.
 
 Null payloads are empty. Null addresses become `unknown:`, white space in addresses is percent-encoded, for ARC's fields are parted by
 blanks. A null page_id stays null. Repeated rows are archived each; those with the largest page_id of equal payloads are all responses.
-An empty table gives no archives. Other columns are ignored."""
+An empty table gives no archives. Very long payloads make an archive of their own. Other columns are ignored."""
 
 from __future__ import annotations
 
@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_frames, stored
+from .common import map_frames, rows_of, stored, struct
 
 #: Payloads from this many bytes on are archived once.
 REVISIT_FROM = 1000
@@ -211,7 +211,6 @@ def archives(pages: DataFrame, least: int = REVISIT_FROM, size: int = ARCHIVE) -
                     extra = [("X-Page-Id", "" if page is None else str(page)), ("X-Payload-Length", str(len(html)))]
                     if origin is not None and origin != page:
                         when = instant(source(origin)[1])
-                        extra.append(("X-Refers-To-Page-Id", str(origin)))
                         refers = (identifier(address(origin_url), when, digest32(html), str(origin), str(len(html))), address(origin_url), when)
                 out.append(convert(record, version, refers, extra))
             yield pd.DataFrame({"archive": [name[:-3] + "warc"], "records": [len(rows)], "warc": [b"".join(out)]})
@@ -227,11 +226,11 @@ def archives(pages: DataFrame, least: int = REVISIT_FROM, size: int = ARCHIVE) -
         yield from close(1)
         yield from close(2)
 
-    return map_frames(originals(pages, least).drop("digest"), run, "archive string, records long, warc binary")
+    return map_frames(originals(pages, least).drop("digest"), run, struct(archive="string", records="long", warc="binary"))
 
 
-def read_pages(warcs: DataFrame) -> DataFrame:
-    """page_id, payload_bytes, payload_digest, record_type, refers_to and the identifiers of the records in a column of archives. A
+def read_records(warcs: DataFrame) -> DataFrame:
+    """page_id, payload_bytes, payload_digest, record_type, refers_to_id and the identifiers of the records in a column of archives. A
     response's size and digest come from its block; a revisit has them from its headers."""
 
     def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -249,12 +248,21 @@ def read_pages(warcs: DataFrame) -> DataFrame:
                         n, found = len(payload), hashlib.sha1(payload).hexdigest()
                         if found != digest:
                             raise ValueError(f"the payload of {h['warc-record-id']} is damaged")
-                    page, refers = h["x-page-id"], h.get("x-refers-to-page-id")
-                    rows.append((int(page) if page else None, n, digest, h["warc-type"], int(refers) if refers else None, h["warc-record-id"], h["warc-date"]))
-            made = pd.DataFrame(rows, columns=["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "record_id", "warc_date"])
-            yield made.astype({"page_id": "Int64", "refers_to": "Int64"})
+                    rows.append((int(h["x-page-id"]) if h["x-page-id"] else None, n, digest, h["warc-type"], h.get("warc-refers-to"), h["warc-record-id"], h["warc-date"]))
+            yield rows_of(rows, ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to_id", "record_id", "warc_date"])
+
+    return map_frames(warcs.select("warc"), run, struct(page_id="long", payload_bytes="long", payload_digest="string", record_type="string", refers_to_id="string", record_id="string", warc_date="string"))
 
-    return map_frames(warcs.select("warc"), run, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, record_id string, warc_date string")
+
+def read_pages(warcs: DataFrame) -> DataFrame:
+    """read_records() with refers_to: the page_id of the record that a revisit names in WARC-Refers-To, null where no archive has it. Of
+    the other records only those that are named are joined, and each once, however often its row was archived."""
+    records = stored(read_records(warcs), "records")
+    named = records.where("refers_to_id IS NOT NULL").select(F.col("refers_to_id").alias("record_id")).distinct()
+    target = records.where("record_type <> 'revisit'").select("record_id", "page_id").join(named, "record_id", "left_semi").dropDuplicates(["record_id"])
+    revisits = records.where("record_type = 'revisit'").join(target.select(F.col("record_id").alias("refers_to_id"), F.col("page_id").alias("refers_to")), "refers_to_id", "left")
+    rest = records.where("record_type <> 'revisit'").withColumn("refers_to", F.lit(None).cast("long"))
+    return rest.unionByName(revisits)
 
 
 def round_trip(pages: DataFrame, least: int = REVISIT_FROM) -> DataFrame:

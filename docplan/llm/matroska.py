@@ -1,7 +1,7 @@
 """Media columns in Matroska: a multiplexer, a parser that makes packet tables, and feature columns.
 
 Nulls count as empty payloads. An empty payload still gives a file with one block of padding. Equal payloads give equal files: the
-identifiers in a file depend on nothing else. Repeated rows give repeated results, an empty table an empty result; columns other than
+identifiers in a file depend on nothing else. Very long payloads take more clusters; a task holds a few MB of payloads, or one. Repeated rows give repeated results, an empty table an empty result; columns other than
 the key and the payload are ignored."""
 
 from __future__ import annotations
@@ -16,19 +16,22 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 
-from .common import map_frames, texts
+from .common import kind_of, map_frames, rows_of, texts
+from .common import struct as schema
 
 # Element identifiers of the Matroska specification.
 EBML, DOCTYPE, DOCTYPE_VERSION, DOCTYPE_READ = 0x1A45DFA3, 0x4282, 0x4287, 0x4285
 SEGMENT, INFO, SCALE, DURATION, APP = 0x18538067, 0x1549A966, 0x2AD7B1, 0x4489, 0x4D80
-TRACKS, ENTRY, NUMBER, UID, KIND, CODEC, AUDIO, RATE, CHANNELS, DEPTH = 0x1654AE6B, 0xAE, 0xD7, 0x73C5, 0x83, 0x86, 0xE1, 0xB5, 0x9F, 0x6264
-CLUSTER, STAMP, SIMPLE, GROUP, BLOCK = 0x1F43B675, 0xE7, 0xA3, 0xA0, 0xA1
+TRACKS, ENTRY, NUMBER, UID, KIND, CODEC, AUDIO, RATE, CHANNELS, DEPTH, FRAME_NS = 0x1654AE6B, 0xAE, 0xD7, 0x73C5, 0x83, 0x86, 0xE1, 0xB5, 0x9F, 0x6264, 0x23E383
+CLUSTER, STAMP, SIMPLE, GROUP, BLOCK, REFERENCE, BLOCK_DURATION = 0x1F43B675, 0xE7, 0xA3, 0xA0, 0xA1, 0xFB, 0x9B
 CUES, POINT, CUE_TIME, CUE_AT, CUE_TRACK, CUE_CLUSTER = 0x1C53BB6B, 0xBB, 0xB3, 0xB7, 0xF7, 0xF1
 
+SEEK_HEAD, TAGS, CHAPTERS, ATTACHMENTS = 0x114D9B74, 0x1254C367, 0x1043A770, 0x1941A469
+
 #: Elements that hold elements.
 MASTERS = frozenset((EBML, SEGMENT, INFO, TRACKS, ENTRY, AUDIO, CLUSTER, GROUP, CUES, POINT, CUE_AT))
 #: What may follow a segment or cluster of unknown size.
-LEVEL1 = frozenset((INFO, TRACKS, CLUSTER, CUES))
+LEVEL1 = frozenset((INFO, TRACKS, CLUSTER, CUES, SEEK_HEAD, TAGS, CHAPTERS, ATTACHMENTS))
 
 SAMPLE_RATE = 8000
 FRAME = 4096  # samples, 512 ms
@@ -85,7 +88,7 @@ def mux(payload: bytes, frame: int = FRAME, rate: int = SAMPLE_RATE) -> bytes:
     head = element(EBML, element(DOCTYPE, b"matroska") + unsigned(DOCTYPE_VERSION, 4) + unsigned(DOCTYPE_READ, 2))
     info = element(INFO, unsigned(SCALE, 1_000_000) + element(DURATION, struct.pack(">d", len(payload) * 1000 / rate)) + element(APP, b"docplan"))
     audio = element(AUDIO, element(RATE, struct.pack(">d", float(rate))) + unsigned(CHANNELS, 1) + unsigned(DEPTH, 8))
-    tracks = element(TRACKS, element(ENTRY, unsigned(NUMBER, 1) + unsigned(UID, 1 + zlib.crc32(payload)) + unsigned(KIND, 2) + element(CODEC, b"A_PCM/INT/LIT") + audio))
+    tracks = element(TRACKS, element(ENTRY, unsigned(NUMBER, 1) + unsigned(UID, 1 + zlib.crc32(payload)) + unsigned(KIND, 2) + unsigned(FRAME_NS, frame * 10**9 // rate) + element(CODEC, b"A_PCM/INT/LIT") + audio))
     at, body, points = len(info) + len(tracks), [info, tracks], []
     step = frame * LACED
     for start in range(0, len(payload), step * BLOCKS):
@@ -201,8 +204,8 @@ def parse(data: bytes) -> Media:
                                 name = {RATE: "rate", CHANNELS: "channels", DEPTH: "depth"}.get(k2)
                                 if name:
                                     track[name] = real(x2, y2) if k2 == RATE else value(x2, y2)
-                        elif k in (NUMBER, UID, KIND):
-                            track[{NUMBER: "number", UID: "uid", KIND: "kind"}[k]] = value(x, y)
+                        elif k in (NUMBER, UID, KIND, FRAME_NS):
+                            track[{NUMBER: "number", UID: "uid", KIND: "kind", FRAME_NS: "frame_ns"}[k]] = value(x, y)
                         elif k == CODEC:
                             track["codec"] = data[x:y].decode("ascii", "replace")
                     tracks.append(track)
@@ -212,10 +215,21 @@ def parse(data: bytes) -> Media:
                 for k, _, x, y in elements(data, a, b, CLUSTER):
                     if k == STAMP:
                         stamp = value(x, y)
-                    blocks = [(x, y)] if k == SIMPLE else [(x2, y2) for k2, _, x2, y2 in elements(data, x, y) if k2 == BLOCK] if k == GROUP else []
+                    if k == SIMPLE:
+                        blocks, keyframe, lasts = [(x, y)], None, None
+                    elif k == GROUP:  # a key frame refers to no other block; the flag is of simple blocks only
+                        inside = [(k2, x2, y2) for k2, _, x2, y2 in elements(data, x, y)]
+                        blocks = [(x2, y2) for k2, x2, y2 in inside if k2 == BLOCK]
+                        keyframe = all(k2 != REFERENCE for k2, _, _ in inside)
+                        lasts = next((value(x2, y2) * state["scale"] for k2, x2, y2 in inside if k2 == BLOCK_DURATION), None)
+                    else:
+                        continue
                     for x2, y2 in blocks:
-                        n, rel, key, parts = frames(data, x2, y2)
-                        packets += [Packet(n, (stamp + rel) * state["scale"] // 1_000_000, o, s, k_cluster, key) for o, s in parts]
+                        n, rel, flag, parts = frames(data, x2, y2)
+                        # frames of a lace follow each other by the track's default duration, or share their block's
+                        step = next((t["frame_ns"] for t in tracks if t.get("number") == n and "frame_ns" in t), None) or (lasts // len(parts) if lasts else 0)
+                        at_ns = (stamp + rel) * state["scale"]
+                        packets += [Packet(n, (at_ns + j * step) // 1_000_000, o, s, k_cluster, flag if keyframe is None else keyframe) for j, (o, s) in enumerate(parts)]
             elif kind == CUES:
                 for _, _, c, d in (e for e in elements(data, a, b) if e[0] == POINT):
                     when = 0
@@ -255,22 +269,19 @@ def encode(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
             yield pd.DataFrame({"doc_id": x["doc_id"], "n_bytes": [n for n, _ in made], "media": [m for _, m in made]})
 
     t = texts(df, key, text)
-    return map_frames(t, run, f"doc_id {t.schema['doc_id'].dataType.simpleString()}, n_bytes long, media binary")
+    return map_frames(t, run, schema(doc_id=kind_of(t), n_bytes="long", media="binary"))
 
 
 def packets(media: DataFrame, key: str = "doc_id", column: str = "media") -> DataFrame:
     """The packet table of a media column: a row for each frame with its track, timestamp and byte range. Null media give no rows."""
-    kind = media.schema[key].dataType.simpleString()
 
     def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for x in batches:
             for k, m in zip(x[key], x[column], strict=True):
                 if m is not None:
-                    found = pd.DataFrame(parse(bytes(m)).packets, columns=Packet._fields)
-                    found.insert(0, key, k)
-                    yield found
+                    yield rows_of([(k, *p) for p in parse(bytes(m)).packets], [key, *Packet._fields])
 
-    return map_frames(media.select(key, column), run, f"{key} {kind}, track long, timestamp_ms long, offset long, size long, cluster long, keyframe boolean")
+    return map_frames(media.select(key, column), run, schema(**{key: kind_of(media, key)}, track="long", timestamp_ms="long", offset="long", size="long", cluster="long", keyframe="boolean"))
 
 
 def digests(media: DataFrame) -> DataFrame:
@@ -283,7 +294,7 @@ def digests(media: DataFrame) -> DataFrame:
                 got = parse(m)
                 raw = samples(m, got)
                 rows.append((k, n, len(raw), hashlib.sha256(raw).hexdigest(), zlib.crc32(raw[-64:]), len(m), hashlib.sha256(m).hexdigest(), features(raw, got)))
-            yield pd.DataFrame(rows, columns=["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"])
+            yield rows_of(rows, ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"])
 
-    kind = media.schema["doc_id"].dataType.simpleString()
-    return map_frames(media.select("doc_id", "n_bytes", "media"), run, f"doc_id {kind}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
+    out = schema(doc_id=kind_of(media), n_bytes="long", payload_bytes="long", payload_sha256="string", tail_crc32="long", media_bytes="long", media_sha256="string", feature="string")
+    return map_frames(media.select("doc_id", "n_bytes", "media"), run, out)
