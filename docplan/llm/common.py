@@ -6,15 +6,21 @@ import atexit
 import tempfile
 import uuid
 import zipfile
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from pathlib import Path
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
-#: Rows of an Arrow batch. Texts reach some hundred thousand characters, so batches stay at tens of MB.
-BATCH_ROWS = "512"
+#: Bytes and rows that an operator takes at a time, whatever Arrow brings; at least one row. As Python words and arrays a text is some
+#: twenty times as large, so this bounds a worker's memory. Results don't depend on it.
+BATCH_BYTES, BATCH_ROWS = 4 << 20, 4096
 
 
 _shipped: set[str] = set()
@@ -35,17 +41,19 @@ def ship(spark: SparkSession) -> None:
 
 
 def prepare(spark: SparkSession) -> SparkSession:
-    """Keep Arrow batches small enough for long texts, and give the workers their code."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+    """Give the workers their code; the session's settings stay as they are."""
     ship(spark)
     return spark
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a folder of this machine where that is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where that is unset, a folder of this machine will do for a
+    local master, where all is one machine, and for no other."""
     sc = spark.sparkContext
     found = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not found:
+        if not sc.master.split("[")[0] == "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         found = tempfile.mkdtemp(prefix="docplan-")
         spark.conf.set("spark.checkpoint.dir", found)
     if not sc.getCheckpointDir():
@@ -62,13 +70,33 @@ def _delete(spark: SparkSession, path: str) -> None:
         pass
 
 
+_kept: dict[str, SparkSession] = {}
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
-    """df as a table in the shared folder. Its lineage ends there, so a lost executor costs only a new read."""
+    """df as a table in the shared folder. Its lineage ends there, so a lost executor costs only a new read. forget() deletes it, the
+    session's end does so at the latest."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/docplan/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    atexit.register(_delete, spark, path)
-    return spark.read.schema(df.schema).parquet(path)
+    _kept[path] = spark
+    out = spark.read.schema(df.schema).parquet(path)
+    out._docplan_path = path
+    return out
+
+
+def forget(*tables: DataFrame) -> None:
+    """Deletes stored() tables that nothing will read again."""
+    for t in tables:
+        path = getattr(t, "_docplan_path", None)
+        if path in _kept:
+            _delete(_kept.pop(path), path)
+
+
+@atexit.register
+def _sweep() -> None:
+    for path, spark in list(_kept.items()):
+        _delete(spark, path)
 
 
 def texts(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -76,14 +104,84 @@ def texts(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     return df.select(F.col(key).alias("doc_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
 
 
-def map_frames(df: DataFrame, f, schema: str) -> DataFrame:
-    """mapInPandas that skips empty batches."""
+def struct(**kinds: str | T.DataType) -> T.StructType:
+    """A schema; kinds are types or their names."""
+    return T.StructType([T.StructField(k, v if isinstance(v, T.DataType) else T._parse_datatype_string(v)) for k, v in kinds.items()])
+
+
+def kind_of(df: DataFrame, column: str = "doc_id") -> T.DataType:
+    return df.schema[column].dataType
+
+
+def cut(batches: Iterable[pa.RecordBatch], most: int = BATCH_BYTES, rows: int = BATCH_ROWS) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of at most so many bytes and rows, one row at least. Batches without rows are left out."""
+    for b in batches:
+        if not b.num_rows:
+            continue
+        size = np.full(b.num_rows, 8 * b.num_columns, np.int64)
+        for c in b.columns:
+            if pa.types.is_string(c.type) or pa.types.is_binary(c.type) or pa.types.is_large_string(c.type) or pa.types.is_large_binary(c.type):
+                size += pc.fill_null(pc.binary_length(c), 0).to_numpy(zero_copy_only=False)
+            elif pa.types.is_list(c.type) or pa.types.is_large_list(c.type):
+                size += 8 * pc.fill_null(pc.list_value_length(c), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+        start = 0
+        ends = np.cumsum(size)
+        while start < b.num_rows:
+            stop = int(np.searchsorted(ends, (ends[start - 1] if start else 0) + most, "right"))
+            stop = min(max(stop, start + 1), start + rows, b.num_rows)
+            yield b.slice(start, stop - start)
+            start = stop
+
+
+def to_frame(batch: pa.RecordBatch) -> pd.DataFrame:
+    """A batch as pandas has it, but integers with nulls among them stay integers (and None), for as floats they would lose digits."""
+    return pd.DataFrame({n: c.to_pandas(integer_object_nulls=True) for n, c in zip(batch.schema.names, batch.columns, strict=True)})
+
 
-    def run(frames: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        yield from f(x for x in frames if len(x))
+def to_batch(frame: pd.DataFrame, schema: pa.Schema) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(frame[f.name], type=f.type, from_pandas=True) for f in schema], schema=schema)
+
+
+def rows_of(rows: list[tuple], columns: list[str]) -> pd.DataFrame:
+    """Tuples as a frame of plain objects: integers beside None stay integers."""
+    return pd.DataFrame(rows, columns=columns, dtype=object)
+
+
+def map_batches(df: DataFrame, f: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: T.StructType) -> DataFrame:
+    """mapInArrow over batches of bounded size. Columns travel by number, so their names may be any."""
+    names = df.columns
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from f(b.rename_columns(names) for b in cut(batches))
 
     ship(df.sparkSession)
-    return df.mapInPandas(run, schema)
+    return df.toDF(*(f"c{k}" for k in range(len(names)))).mapInArrow(run, schema)
+
+
+def map_frames(df: DataFrame, f: Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]], schema: T.StructType) -> DataFrame:
+    """mapInPandas with batches of bounded size and exact integers."""
+    arrow = to_arrow_schema(schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for x in f(to_frame(b) for b in batches):
+            if len(x):
+                yield to_batch(x, arrow)
+
+    return map_batches(df, run, schema)
+
+
+def map_text(df: DataFrame, f: Callable[[list[str | None], pa.RecordBatch], list[str | None]], text: str, also: tuple[str, ...] = ()) -> DataFrame:
+    """df with another text in each row: f gets the texts and the batch. All other columns pass untouched, whatever their types and
+    names; those in `also`, which f reads from the batch, are left out of the result."""
+    out = T.StructType([T.StructField(x.name, T.StringType() if x.name == text else x.dataType) for x in df.schema if x.name not in also])
+    arrow = to_arrow_schema(out)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            now = pa.array(f(b.column(text).to_pylist(), b), pa.string())
+            yield pa.RecordBatch.from_arrays([now if x.name == text else b.column(x.name).cast(x.type) for x in arrow], schema=arrow)
+
+    return map_batches(df.withColumn(text, F.col(text).cast("string")), run, out)
 
 
 def fold(key: Column, n: int) -> Column:
@@ -114,5 +212,7 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         # done when every hi has one lo, and no lo is itself a hi
         his = new.groupBy("hi").agg(F.count("*").alias("n"))
         if not new.select(F.col("lo").alias("hi")).join(his, "hi", "left_semi").take(1) and not his.where("n > 1").take(1):
+            forget(e)
             return new.select(F.col("hi").alias("node"), F.col("lo").alias("root"))
+        forget(e)
         e = new

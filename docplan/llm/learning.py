@@ -13,10 +13,10 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fold, map_frames, texts
+from .common import fold, map_frames, struct, texts
 
-#: Words that a Python worker keeps what it knows of; a bound on memory, without effect on results.
-WORDS_KEPT = 400_000
+#: Bytes of words that a Python worker keeps what it knows of; a bound on memory, without effect on results.
+WORDS_KEPT = 32 << 20
 
 
 def sample(documents: DataFrame, labels: DataFrame, label: str, modulus: int, held_out: int, rows: int) -> DataFrame:
@@ -37,7 +37,7 @@ def trained(rows: DataFrame, fit: Callable[[pd.DataFrame], Any]) -> Any:
         if many:
             yield pd.DataFrame({"model": [zlib.compress(pickle.dumps(fit(pd.concat(many, ignore_index=True).sort_values("doc_id", ignore_index=True))), 1)]})
 
-    found = map_frames(rows.repartition(1), run, "model binary").first()
+    found = map_frames(rows.repartition(1), run, struct(model="binary")).first()
     return pickle.loads(zlib.decompress(found["model"])) if found else fit(pd.DataFrame({c: [] for c in rows.columns}))
 
 
@@ -46,7 +46,7 @@ class Words(dict):
 
     def __init__(self, describe: Callable[[list[str]], dict[str, np.ndarray]], kept: int = WORDS_KEPT) -> None:
         super().__init__()
-        self.describe, self.kept, self.new, self.columns = describe, kept, [], {}
+        self.describe, self.kept, self.new, self.columns, self.size = describe, kept, [], {}, 0
 
     def __missing__(self, word: str) -> int:
         self[word] = n = len(self)
@@ -54,13 +54,14 @@ class Words(dict):
         return n
 
     def numbers(self, flat: list[str]) -> np.ndarray:
-        if len(self) > self.kept:
+        if self.size > self.kept:
             self.clear()
-            self.new, self.columns = [], {}
+            self.new, self.columns, self.size = [], {}, 0
         out = np.fromiter(map(self.__getitem__, flat), np.int64, len(flat))
         if self.new or not self.columns:
             more = self.describe(self.new)
             self.columns = {k: np.concatenate([self.columns[k], v]) if k in self.columns else v for k, v in more.items()}
+            self.size += sum(map(len, self.new)) + 200 * len(self.new)
             self.new = []
         return out
 

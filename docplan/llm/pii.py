@@ -6,14 +6,16 @@ between neighbours in the text, and skip links between candidates that are the s
 digits, the same name before the at sign), however far apart. Loopy message passing over it, with the base spans' labels as evidence,
 gives each candidate's marginals; those that are sure of a kind become spans as well.
 
-Potentials are trained on a bounded sample of documents with their base spans as labels; every document is searched whole. Null and
-empty texts have no spans. Rows may repeat; an empty table gives an empty result; extra columns are ignored. Base spans stay as they
-are; an added span never overlaps another."""
+Potentials are trained on at most `rows` documents whose base spans are their labels (a documented bound); every document is searched
+whole, and a candidate is a whole run of characters that aren't white space, however long. Links to neighbours reach `NEAR` characters,
+which is the chain's definition; skip links reach over the whole text. Null and empty texts have no spans. Very long texts cost memory
+by their candidates. Rows may repeat; an empty table gives an empty result; extra columns are ignored by find() and kept as they are by
+redact(). Base spans stay as they are; an added span never overlaps another."""
 
 from __future__ import annotations
 
-import hashlib
 import re
+from bisect import bisect_left
 from collections.abc import Iterable, Iterator
 from typing import NamedTuple
 
@@ -22,7 +24,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_frames, texts
+from .common import kind_of, map_frames, map_text, struct, texts
 from .learning import hashed, trained
 
 #: Documents that potentials are trained on at most.
@@ -38,11 +40,11 @@ ROUNDS = 10
 
 # The patterns of the four kinds. The marks before them only spare starts that an earlier start includes.
 _domain = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
-_local = re.compile(r"[A-Za-z0-9._%+-]*\Z")
 _ip = re.compile(r"(?<![0-9])[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
 _card = re.compile(r"(?<![0-9])[0-9](?:[\x20-]?[0-9])+")
 _phone = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _not_digit = re.compile(r"[^0-9]+")
+_white = re.compile(r"\s")
 _digits_run = re.compile(r"\+?\(?[0-9](?:[0-9]|[ ().-]{1,2}(?=[0-9]))*")
 _local_letters = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 
@@ -133,17 +135,17 @@ def nodes(text: str, spans: list[Span]) -> list[Node]:
     free: list[tuple[int, int, int]] = []
     ends = [(0, 0, 0), *taken, (len(text), len(text), 0)]
     for (_, a, _), (b, _, _) in zip(ends[:-1], ends[1:], strict=True):
-        for m in _digits_run.finditer(text, a, b):
-            if sum(c.isdigit() for c in m[0]) >= 7:
-                free.append((m.start(), m.end(), 0))
+        runs = [(m.start(), m.end(), 0) for m in _digits_run.finditer(text, a, b) if sum(c.isdigit() for c in m[0]) >= 7]
+        free += runs
         at = text.find("@", a, b)
         while at >= 0:
             x, y = at, at + 1
-            while x > max(a, at - 64) and not text[x - 1].isspace():
+            while x > a and not text[x - 1].isspace():
                 x -= 1
-            while y < min(b, at + 64) and not text[y].isspace():
-                y += 1
-            if y - x > 1 and not any(p < y and x < q for p, q, _ in free[-2:]):
+            m = _white.search(text, y, b)
+            y = m.start() if m else b
+            k = bisect_left(runs, (y,))  # the last run of digits that begins before the candidate ends
+            if y - x > 1 and not (k and runs[k - 1][1] > x):
                 free.append((x, y, 0))
             at = text.find("@", y, b)
     return [Node(a, b, k, *_describe(text, a, b)) for a, b, k in sorted([*taken, *free])]
@@ -287,10 +289,10 @@ def find(df: DataFrame, field: Field, key: str = "doc_id", text: str = "text", s
                     count[s.kind] += 1
                 rows.append((*count, joined(base), joined([*base, *more])))
             found = pd.DataFrame(rows, columns=[*(f"n_{k}" for k in KINDS), "base", "spans"])
-            found.insert(0, "doc_id", x["doc_id"].to_numpy())
+            found.insert(0, "doc_id", x["doc_id"])
             yield found
 
-    return map_frames(t, run, f"doc_id {t.schema['doc_id'].dataType.simpleString()}, {', '.join(f'n_{k} long' for k in KINDS)}, base string, spans string")
+    return map_frames(t, run, struct(doc_id=kind_of(t), **{f"n_{k}": "long" for k in KINDS}, base="string", spans="string"))
 
 
 def cover(text: str, spans: Iterable[Span]) -> str:
@@ -304,12 +306,10 @@ def cover(text: str, spans: Iterable[Span]) -> str:
 
 
 def redact(df: DataFrame, field: Field, text: str = "text", sure: float = SURE) -> DataFrame:
-    """df with every span of its text covered. Null texts stay null."""
+    """df with every span of its text covered. Null texts stay null, other columns as they are."""
 
-    def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for x in batches:
-            many = [t or "" for t in x[text]]
-            found = [cover(t, [*a, *b]) for t, (a, b) in zip(many, all_spans(field, many, sure), strict=True)]
-            yield x.assign(**{text: [None if was is None else now for was, now in zip(x[text], found, strict=True)]})
+    def now(many: list[str | None], batch: object) -> list[str | None]:
+        plain = [t or "" for t in many]
+        return [None if t is None else cover(t, [*a, *b]) for t, (a, b) in zip(many, all_spans(field, plain, sure), strict=True)]
 
-    return map_frames(df, run, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema))
+    return map_text(df, now, text)

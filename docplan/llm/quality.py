@@ -6,7 +6,8 @@ a linear model with hinge loss is fitted to the scaled vectors by dual coordinat
 model that is fitted on rows apart.
 
 The model comes from at most `rows` labelled documents (a documented bound); every document is scored over its whole text. Null and
-empty texts have no features and get the score of the constant alone. Without labelled rows of both classes, or with an empty table,
+empty texts have no features and get the score of the constant alone. Very long texts are scored whole; batches are bounded by bytes,
+so memory grows with the longest text alone. Shapes are cut to 12 characters, which is a feature's definition and not a limit on texts. Without labelled rows of both classes, or with an empty table,
 every score is the share of good labels, 0.5 without any. Repeated rows get equal scores; extra columns are ignored."""
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 
-from .common import map_frames
+from .common import kind_of, map_frames, struct
 from .learning import Words, calibrate, hashed, held, laid, logistic, sample, trained
 
 #: Labelled documents that the model is fitted to at most.
@@ -164,4 +165,4 @@ def score(documents: DataFrame, labels: DataFrame, rows: int = ROWS, cut: float
             s = model.scores(x["text"].tolist())
             yield pd.DataFrame({"doc_id": x["doc_id"], "held_out": x["held_out"], "score": s, "predicted": (s >= cut).astype(np.int32)})
 
-    return map_frames(t, run, f"doc_id {t.schema['doc_id'].dataType.simpleString()}, held_out boolean, score double, predicted int")
+    return map_frames(t, run, struct(doc_id=kind_of(t), held_out="boolean", score="double", predicted="int"))

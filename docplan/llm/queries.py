@@ -23,7 +23,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def op1_toxicity_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents")
     tagger = toxicity.train(documents, table(spark, sf_dir, "labels"))
-    return toxicity.score(documents, tagger).select("doc_id", "held_out", "score", "predicted", F.size("spans").alias("n_spans"))
+    return toxicity.score(documents, tagger).select("doc_id", "held_out", "score", "predicted", "spans")
 
 
 def op2_ivf_pq(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -41,7 +41,7 @@ def op4_bpe_pair_index(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack_documents(table(spark, sf_dir, "documents"))
+    return packing.pack_documents(table(spark, sf_dir, "documents"), f"{TOKENIZERS}/word_bpe_49k.json")
 
 
 def op6_quality_nbsvm(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -9,7 +9,8 @@ Three things keep this small. A minimiser that stands at one place of the whole
 strings only for minimisers that occur again. Equal texts are one text with a weight, and equal strings one string, before anything is
 dealt out. And a minimiser with more than `hot` different strings is dealt out by whole windows instead, so no bucket is unbounded.
 
-Null and empty texts have no words. Texts shorter than a window, and rows without a repeated window, lose nothing. Rows may repeat, also
+Null and empty texts have no words. Very long texts are cut whole; batches are bounded by bytes, so memory grows with the longest text
+alone. Texts shorter than a window, and rows without a repeated window, lose nothing. Rows may repeat, also
 with equal identifiers: a text that occurs twice repeats all its windows. An empty table gives an empty result; other columns are
 ignored."""
 
@@ -20,10 +21,11 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_frames, partitions, stored, texts
+from .common import forget, kind_of, map_frames, map_text, partitions, stored, struct, texts
 
 WINDOW = 35
 SEED = 12
@@ -32,6 +34,9 @@ STRING = 256
 #: Strings of a bucket; larger ones are dealt out by window.
 HOT = 2000
 
+#: Columns that cut_repeats adds for a while; no table's own.
+KEY, RANGES = "__docplan_key", "__docplan_ranges"
+
 words = re.compile(r"[^\x20\x09-\x0D]+").findall
 
 
@@ -117,7 +122,7 @@ def _scan(docs: DataFrame, window: int, seed: int) -> DataFrame:
                 made[name] = np.split(column.astype(kind), cut)
             yield pd.DataFrame(made)
 
-    return map_frames(docs.select("key", "text"), run, "key binary, start array<int>, n array<int>, mini array<long>, twice array<boolean>")
+    return map_frames(docs.select("key", "text"), run, struct(key="binary", start="array<int>", n="array<int>", mini="array<bigint>", twice="array<boolean>"))
 
 
 def _packed(found: DataFrame, window: int) -> DataFrame:
@@ -131,7 +136,7 @@ def _packed(found: DataFrame, window: int) -> DataFrame:
                 rows += [(key, c, p["start"], p["mini"], " ".join(w[p["start"] : p["start"] + p["n"] + window - 1])) for p in flagged]
             yield pd.DataFrame(rows, columns=["key", "c", "start", "mini", "packed"])
 
-    return map_frames(found.select("key", "text", "c", "flagged"), run, "key binary, c long, start int, mini long, packed string").withColumn("sid", F.unhex(F.md5(F.col("packed").cast("binary"))))
+    return map_frames(found.select("key", "text", "c", "flagged"), run, struct(key="binary", c="long", start="int", mini="long", packed="string")).withColumn("sid", F.unhex(F.md5(F.col("packed").cast("binary"))))
 
 
 def repeated_runs(strings: list[str], weights: list[int], window: int) -> list[list[tuple[int, int]]]:
@@ -188,7 +193,7 @@ def _count_buckets(p: DataFrame, window: int) -> DataFrame:
         if rest is not None:
             yield done(rest)
 
-    return map_frames(p.select("mini", "sid", "packed", "c").repartition(partitions(p), "mini").sortWithinPartitions("mini"), run, "sid binary, runs array<struct<a:int,b:int>>")
+    return map_frames(p.select("mini", "sid", "packed", "c").repartition(partitions(p), "mini").sortWithinPartitions("mini"), run, struct(sid="binary", runs="array<struct<a:int,b:int>>"))
 
 
 def _count_windows(p: DataFrame, window: int) -> DataFrame:
@@ -201,19 +206,26 @@ def _count_windows(p: DataFrame, window: int) -> DataFrame:
 
 
 def repeated_ranges(docs: DataFrame, window: int = WINDOW, seed: int = SEED, hot: int = HOT) -> DataFrame:
-    """(key, ranges): for each text, by the md5 of its UTF-8, the word ranges that repeated windows cover. docs: key, text."""
+    """(key, ranges): for each text with repeated windows, by the md5 of its UTF-8, the word ranges that they cover; stored, one row a
+    text. docs: key, text. Only texts with a minimiser that stands elsewhere as well leave their partition."""
     found = stored(_scan(docs, window, seed), "kmers")
     each = found.select("key", F.explode(F.arrays_zip("start", "n", "mini", "twice")).alias("p"))
     again = each.groupBy(F.col("p.mini").alias("mini")).agg(F.sum(F.lit(1) + F.col("p.twice").cast("int")).alias("k")).where("k > 1").select("mini")
-    flagged = each.withColumn("mini", F.col("p.mini")).join(again, "mini", "left_semi").groupBy("key").agg(F.collect_set("p").alias("flagged"))
-    one = docs.groupBy("key").agg(F.first("text").alias("text"), F.count("*").alias("c"))
+    flagged = stored(each.withColumn("mini", F.col("p.mini")).join(again, "mini", "left_semi").groupBy("key").agg(F.collect_set("p").alias("flagged")), "flagged")
+    forget(found)
+    one = docs.join(flagged.select("key"), "key", "left_semi").groupBy("key").agg(F.first("text").alias("text"), F.count("*").alias("c"))
     strings = stored(_packed(one.join(flagged, "key"), window), "strings")
+    forget(flagged)
     p = stored(strings.groupBy("mini", "sid").agg(F.first("packed").alias("packed"), F.sum("c").alias("c")), "buckets")
     large = p.groupBy("mini").agg(F.count("*").alias("k")).where(F.col("k") > hot).select("mini")
     runs_of = _count_buckets(p.join(large, "mini", "left_anti"), window).unionByName(_count_windows(p.join(large, "mini", "left_semi"), window))
-    hits = strings.select("key", "start", "sid").join(stored(runs_of, "runs"), "sid")
+    marked = stored(runs_of, "runs")
+    forget(p)
+    hits = strings.select("key", "start", "sid").join(marked, "sid")
     words_of = hits.select("key", F.transform("runs", lambda r: F.struct((r["a"] + F.col("start")).alias("a"), (r["b"] + F.col("start") + (window - 1)).alias("b"))).alias("r"))
-    return words_of.groupBy("key").agg(F.flatten(F.collect_list("r")).alias("ranges"))
+    ranges = stored(words_of.groupBy("key").agg(F.flatten(F.collect_list("r")).alias("ranges")), "ranges")
+    forget(strings, marked)
+    return ranges
 
 
 def _outside(w: list[str], found: Iterable | None) -> list[str] | None:
@@ -239,28 +251,26 @@ def remove_repeats(df: DataFrame, key: str = "doc_id", text: str = "text", windo
                 kept = _outside(w, found)
                 rows.append((len(w), 0 if kept is None else len(w) - len(kept), " ".join(w if kept is None else kept)))
             made = pd.DataFrame(rows, columns=["n_words", "n_removed", "kept"])
-            made.insert(0, "text", x["text"].to_numpy())
-            made.insert(0, "doc_id", x["doc_id"].to_numpy())
+            made.insert(0, "text", x["text"])
+            made.insert(0, "doc_id", x["doc_id"])
             yield made
 
-    joined = docs.join(stored(ranges, "ranges"), "key", "left").select("doc_id", "text", "ranges")
-    return map_frames(joined, run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, text string, n_words long, n_removed long, kept string")
+    joined = docs.join(ranges, "key", "left").select("doc_id", "text", "ranges")
+    return map_frames(joined, run, struct(doc_id=kind_of(docs), text="string", n_words="long", n_removed="long", kept="string"))
 
 
 def cut_repeats(df: DataFrame, text: str = "text", window: int = WINDOW, seed: int = SEED, hot: int = HOT) -> DataFrame:
-    """df with its repeated windows cut out of the text. Texts that have none, null ones too, stay as they are."""
-    key = F.unhex(F.md5(F.coalesce(F.col(text).cast("string"), F.lit("")).cast("binary")))
-    ranges = repeated_ranges(df.select(key.alias("key"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text")), window, seed, hot)
-
-    def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for x in batches:
-            now = []
-            for t, found in zip(x["text"], x["ranges"], strict=True):
-                kept = None if t is None else _outside(words(t), found)
-                now.append(t if kept is None else " ".join(kept))
-            yield pd.DataFrame({"row": x["row"], "now": now})
-
-    # the row travels as one value, so that no name of df clashes
-    joined = df.select(key.alias("key"), F.col(text).cast("string").alias("text"), F.struct(*[F.col(c) for c in df.columns if c != text]).alias("row")).join(stored(ranges, "ranges"), "key", "left")
-    cut = map_frames(joined.select("row", "text", "ranges"), run, f"row {joined.schema['row'].dataType.simpleString()}, now string")
-    return cut.select(*[F.col("now").alias(c) if c == text else F.col("row")[c].alias(c) for c in df.columns])
+    """df with its repeated windows cut out of the text. Texts that have none, null ones too, and all other columns stay as they are."""
+    plain = F.coalesce(F.col(text).cast("string"), F.lit(""))
+    key = F.unhex(F.md5(plain.cast("binary")))
+    ranges = repeated_ranges(df.select(key.alias("key"), plain.alias("text")), window, seed, hot).toDF(KEY, RANGES)
+
+    def now(many: list[str | None], batch: pa.RecordBatch) -> list[str | None]:
+        out = []
+        for t, found in zip(many, batch.column(RANGES).to_pylist(), strict=True):
+            kept = None if t is None else _outside(words(t), found)
+            out.append(t if kept is None else " ".join(kept))
+        return out
+
+    joined = df.withColumn(KEY, key).join(ranges, KEY, "left")
+    return map_text(joined.select(*[F.col(f"`{c}`") for c in df.columns], RANGES), now, text, (RANGES,))

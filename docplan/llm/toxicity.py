@@ -7,8 +7,10 @@ word, its beginning, end and shape, and its neighbours. Forward and backward mes
 a threshold are a span; the expected number of toxic tokens and the largest marginal, calibrated on documents, give the score.
 
 The model comes from at most `rows` labelled documents (a documented bound); every document is tagged over its whole text. Null and
-empty texts have no tokens and get the score of none. Without labelled rows of both classes every score is the share of toxic labels,
-0.5 without any. Repeated rows get equal scores; an empty table gives an empty result; extra columns are ignored."""
+empty texts have no tokens and get the score of none. Very long texts are tagged whole: batches are bounded by bytes, so memory grows
+with the longest text alone, by some hundred bytes a token. Without labelled rows of both classes, or where no word tells them apart,
+nothing is learnt: every score is the share of toxic labels, 0 without any, and keep_clean keeps every row. Repeated rows get equal
+scores; an empty table gives an empty result; extra columns are ignored, or kept as they are by keep_clean."""
 
 from __future__ import annotations
 
@@ -18,9 +20,10 @@ from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import map_frames
+from .common import kind_of, map_batches, map_frames, struct
 from .learning import Words, calibrate, hashed, held, laid, logistic, plain_words, sample, trained
 
 #: Labelled documents that the model is fitted to at most.
@@ -127,6 +130,7 @@ class Tagger(NamedTuple):
     bias: float
     trans: np.ndarray
     document: np.ndarray  # of expected tokens, of the largest marginal, constant
+    learnt: bool = True
 
     def marginals(self, many: list[str]) -> tuple[np.ndarray, np.ndarray]:
         f, at = rows_of(many)
@@ -169,8 +173,8 @@ def toxic_words(many: list[str], y: np.ndarray) -> set[str]:
 
 def fit(many: list[str], y: np.ndarray, steps: int = 40, rate: float = 0.5, ridge: float = 1e-6) -> Tagger:
     size = 1 << BITS
-    share = (y.sum() + 1) / (len(y) + 2)
-    none = Tagger(np.zeros((len(KINDS), size), np.float32), -5.0, np.zeros((2, 2)), np.array([0.0, 0.0, float(np.log(share / (1 - share)))]))
+    share = np.clip(y.mean() if len(y) else 0.0, 1e-9, 1 - 1e-9)
+    none = Tagger(np.zeros((len(KINDS), size), np.float32), -5.0, np.zeros((2, 2)), np.array([0.0, 0.0, float(np.log(share / (1 - share)))]), False)
     words = toxic_words(many, y)
     if len(set(y.tolist())) < 2 or not words:
         return none
@@ -212,7 +216,7 @@ def fit(many: list[str], y: np.ndarray, steps: int = 40, rate: float = 0.5, ridg
         trans -= rate * d_t / np.sqrt(g_t)
     weights = np.zeros(len(KINDS) * size, np.float32)
     weights[used] = w
-    tagger = none._replace(weights=weights.reshape(len(KINDS), size), bias=float(bias), trans=trans)
+    tagger = none._replace(weights=weights.reshape(len(KINDS), size), bias=float(bias), trans=trans, learnt=True)
     parts = [summary(*tagger.marginals(many[k : k + 256])) for k in range(0, len(many), 256)]
     return tagger._replace(document=calibrate(np.concatenate(parts), y.astype(float)))
 
@@ -246,15 +250,17 @@ def score(documents: DataFrame, tagger: Tagger, cut: float = CUT, span: float =
                         was = k
             yield pd.DataFrame({"doc_id": x["doc_id"], "held_out": x["held_out"], "score": s, "predicted": (s >= cut).astype(np.int32), "spans": spans})
 
-    return map_frames(t, run, f"doc_id {t.schema['doc_id'].dataType.simpleString()}, held_out boolean, score double, predicted int, spans array<struct<start:int,end:int,marginal:double>>")
+    return map_frames(t, run, struct(doc_id=kind_of(t), held_out="boolean", score="double", predicted="int", spans="array<struct<start:int,end:int,marginal:double>>"))
 
 
 def keep_clean(df: DataFrame, tagger: Tagger, text: str = "text", cut: float = CUT) -> DataFrame:
-    """The rows of df whose text scores under the cut, with all their columns."""
+    """The rows of df whose text scores under the cut, with all their columns as they are; all rows where nothing was learnt."""
+    if not tagger.learnt:
+        return df
 
-    def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for x in batches:
-            s = tagger.scores(*tagger.marginals([t or "" for t in x[text]]))
-            yield x[s < cut]
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            s = tagger.scores(*tagger.marginals([t or "" for t in b.column(text).to_pylist()]))
+            yield b.filter(pa.array(s < cut))
 
-    return map_frames(df, run, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema))
+    return map_batches(df, run, df.schema)
