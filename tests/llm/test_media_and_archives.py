@@ -19,7 +19,8 @@ def test_matroska_round_trip(n):
     assert media.tracks[0]["depth"] == 8
     at = 0
     for p in media.packets:
-        assert p.timestamp_ms <= at * 1000 // 8000
+        assert p.timestamp_ms == at * 1000 // 8000  # frames of a lace too
+        assert p.keyframe
         assert data[p.offset : p.offset + p.size] == raw[at : at + p.size]
         at += p.size
     for _, track, offset in media.cues:
@@ -50,10 +51,26 @@ def test_unknown_sizes_and_groups():
     media = matroska.parse(data)
     assert media.clusters == 2
     assert [(p.timestamp_ms, p.size) for p in media.packets] == [(1007, 3)] * 2
+    for last in (0x1254C367, 0x114D9B74, 0x1043A770, 0x1941A469):  # what may stand behind a cluster of unknown size
+        media = matroska.parse(data + last.to_bytes(4, "big") + b"\x82ab")
+        assert (media.clusters, len(media.packets)) == (2, 2)
     with pytest.raises(ValueError, match="parent"):
         matroska.parse(matroska.mux(bytes(64))[:-5])
 
 
+def test_groups_tell_key_frames_and_durations():
+    e, u = matroska.element, matroska.unsigned
+    lace = b"\x81\x00\x07\x04\x03" + bytes(8)  # four frames of two bytes; the flag of simple blocks is unset
+    plain, refers = e(matroska.BLOCK, lace), u(matroska.REFERENCE, 5)
+    for inside, key in ((plain, True), (plain + refers, False)):
+        group = e(matroska.GROUP, inside + u(matroska.BLOCK_DURATION, 40))
+        data = e(matroska.EBML, b"") + e(matroska.SEGMENT, e(matroska.CLUSTER, u(matroska.STAMP, 100) + group))
+        media = matroska.parse(data)
+        assert [(p.timestamp_ms, p.size, p.keyframe) for p in media.packets] == [(107 + 10 * k, 2, key) for k in range(4)]
+    simple = e(matroska.EBML, b"") + e(matroska.SEGMENT, e(matroska.CLUSTER, e(matroska.SIMPLE, b"\x81\x00\x07\x80ab") + e(matroska.SIMPLE, b"\x81\x00\x09\x00ab")))
+    assert [(p.timestamp_ms, p.keyframe) for p in matroska.parse(simple).packets] == [(7, True), (9, False)]
+
+
 def test_matroska_tables(spark):
     media = matroska.encode(hard(spark))
     got = sorted((r.asDict() for r in matroska.digests(media).collect()), key=str)
@@ -98,6 +115,9 @@ def test_pages(spark):
         top = max(q for q, _, h, _ in rows if q is not None and h == html) if len(raw) >= 1000 and p is not None else p
         want.append((p, len(raw), hashlib.sha1(raw).hexdigest(), "response" if top == p else "revisit", None if top == p else top))
     assert sorted(got, key=str) == sorted(want, key=str)
+    records = arc_warc.read_records(arc_warc.archives(pages)).collect()
+    ids = {r["record_id"] for r in records if r["record_type"] != "revisit"}
+    assert {r["refers_to_id"] for r in records if r["record_type"] == "revisit"} <= ids  # every revisit's target is in the archives
     links = {r["page_id"]: r for r in arc_warc.round_trip(pages).collect()}
     assert links[3]["record_type"] == "response"
     assert arc_warc.round_trip(pages.limit(0)).count() == 0

@@ -6,7 +6,8 @@ import pytest
 from compare import assert_same
 from test_text_operators import brute_links, brute_repeats, sets_of
 
-from docplan.llm.queries import ORACLE, QUERIES
+from docplan.llm import bpe
+from docplan.llm.queries import ORACLE, QUERIES, TOKENIZERS
 
 
 @pytest.mark.parametrize("name", sorted(QUERIES))
@@ -33,14 +34,16 @@ def test_pipeline(spark, data):
     gone = {d for d, _ in rows[0]} - {d for d, _ in rows[1]}
     assert not [d for d in gone if toxic.get(d) == 0]
     linked = brute_links(sets_of(rows[1], 5), 80)
-    assert {d for d, _ in rows[2]} == {d for d, _, c, _ in linked if d == c}
+    assert {d for d, _ in rows[2]} == {d for d, n, c, _ in linked if d == c or not n}
     cut = {d: (gone, kept) for d, _, gone, kept in brute_repeats(rows[2], 35)}
     was = dict(rows[2])
     assert all(t == (cut[d][1] if cut[d][0] else was[d]) for d, t in rows[3])
     assert len(rows[3]) == len(rows[4]) == len(rows[2])
-    words = {d: len(re.findall(r"[^\x20\x09-\x0D]+", t)) + 1 for d, t in rows[4]}
+    coder = bpe.Encoder(f"{TOKENIZERS}/word_bpe_49k.json")
+    tokens = {d: len(ids) + 1 for (d, _), ids in zip(rows[4], coder.arrays([t for _, t in rows[4]]), strict=True)}
     packed = {}
     for r in steps[5].collect():
-        packed[r["doc_id"]] = packed.get(r["doc_id"], 0) + r["n_tokens"]
-    assert packed == words
+        for d in r["docs"]:
+            packed[d["doc_id"]] = packed.get(d["doc_id"], 0) + d["n_tokens"]
+    assert packed == tokens
     assert not [t for _, t in rows[4] if re.search(r"[\w.]+@[\w]+\.example", t)]

@@ -198,20 +198,79 @@ def test_pack_best_fit():
     assert set(packing.pack([600] * 10)[2]) <= set(packing.SIZES)
 
 
+def brute_pack(lengths, sizes):
+    """Best fit by looking at every bin, and at every size by trying what would still go in."""
+    order = sorted(range(len(lengths)), key=lambda i: -lengths[i])
+    bins, where = [], {}  # bins: [capacity, used]
+    for k, i in enumerate(order):
+        n = lengths[i]
+        rooms = [c - u for c, u in bins if c - u >= n]
+        if rooms:
+            b = [(c - u) for c, u in bins].index(min(rooms))
+        else:
+            costs = []
+            for s in [s for s in sizes if s >= n]:
+                short = sorted(m for m in (lengths[j] for j in order[k + 1 :]) if m <= s - n)
+                filled = n + min(s - n, sum(short))
+                costs.append((packing.cost(min(z for z in sizes if z >= filled)) / filled, s))
+            least = min(c for c, _ in costs)
+            b = len(bins)
+            bins.append([next(s for c, s in costs if c <= least + 1e-12), 0])
+        where[i] = (min(rooms) if rooms else None, bins[b][0])
+        bins[b][1] += n
+    return where, sorted((min(z for z in sizes if z >= u), u) for _, u in bins)
+
+
+@pytest.mark.parametrize("seed", range(12))
+def test_each_placement_is_the_best_fit(seed):
+    r = random.Random(seed)
+    sizes = (16, 32, 64, 128)
+    lengths = [r.choice((r.randrange(1, 129), r.randrange(1, 20), 8)) for _ in range(r.randrange(1, 90))]  # with ties
+    bins, at, capacity = packing.pack(lengths, sizes)
+    used = np.bincount(bins, lengths, len(capacity)).astype(int)
+    _, want = brute_pack(lengths, sizes)
+    assert sorted(zip(capacity.tolist(), used.tolist(), strict=True)) == want
+    # replay: each piece went where least room was left, or no open bin had room
+    opened, room, seen = {}, {}, set()
+    where, _ = brute_pack(lengths, sizes)
+    for i in sorted(range(len(lengths)), key=lambda i: -lengths[i]):
+        b, (least, size) = bins[i], where[i]
+        if b in seen:
+            assert room[b] == least
+        else:
+            assert least is None
+            room[b] = opened[b] = size
+            seen.add(b)
+        assert at[i] == opened[b] - room[b]
+        room[b] -= lengths[i]
+
+
 def test_pack_tables(spark):
-    got = packing.pack_documents(hard(spark), sizes=(16, 64, 256), shard=7).collect()
-    want = {}
-    for r in hard_documents():
-        want.setdefault(r[0], []).append(len(re.findall(r"[^\x20\x09-\x0D]+", r[1] or "")) + 1)
-    total, bins = {}, {}
-    for r in got:
-        total[r["doc_id"]] = total.get(r["doc_id"], 0) + r["n_tokens"]
-        bins.setdefault(r["bin_id"], []).append(r)
-    assert total == {k: sum(v) for k, v in want.items()}
-    for rows in bins.values():
-        assert sum(r["n_tokens"] for r in rows) == rows[0]["bin_tokens"] <= rows[0]["capacity"]
-        assert len({r["capacity"] for r in rows}) == 1
-    assert packing.pack_documents(empty(spark)).count() == 0
+    from docplan.llm.queries import TOKENIZERS
+
+    path = f"{TOKENIZERS}/word_bpe_49k.json"
+    coder = bpe.Encoder(path)
+    mark = bpe.vocabulary(path).special[packing.END]
+    for sizes, shard in (((16, 64, 256), 300), ((8192,), 10**9)):
+        got = packing.pack_documents(hard(spark), path, sizes=sizes, shard=shard).collect()
+        assert len({r["sequence_id"] for r in got}) == len(got)
+        parts = {}
+        for r in got:
+            assert len(r["ids"]) == r["n_tokens"] <= r["capacity"]
+            assert r["capacity"] == min(s for s in sizes if s >= r["n_tokens"])
+            at = 0
+            for d in r["docs"]:
+                assert d["offset"] == at
+                at += d["n_tokens"]
+                parts.setdefault((d["doc_id"], d["piece"], d["start"]), []).append(r["ids"][d["offset"] : at])
+            assert at == r["n_tokens"]
+        want = {}
+        for r in hard_documents():
+            ids = [*next(coder.arrays([r[1] or ""])).tolist(), mark]
+            for k in range(0, len(ids), max(sizes)):
+                want.setdefault((r[0], k // max(sizes), k), []).append(ids[k : k + max(sizes)])
+        assert {k: sorted(v) for k, v in parts.items()} == {k: sorted(v) for k, v in want.items()}
+    assert packing.pack_documents(empty(spark), path).count() == 0
 
 
 # ---- personal data
