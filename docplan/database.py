@@ -1,12 +1,13 @@
 """Databases of collections over Parquet.
 
-A collection is a folder of versions, each a whole copy; a catalog names the current ones. Writes make a new version and then change
-the catalog in one step, so readers keep what they read, transactions are sets of new versions that become current together or not at
-all, and older versions can be read. Every write also appends to a log of changes."""
+A collection's version is a manifest: folders of Parquet files, each written by one write, less the files that later writes replaced. An
+insert adds a folder; an update or a delete writes anew only the files that hold a match. The catalog names each collection's manifests;
+catalogs are numbered files that are created and never changed, so a commit is the creation of the next number, and of two writers at
+once one sees the other's commit and starts again. Readers keep what they read, older versions can be read, and what isn't committed is
+nowhere listed. Every write also appends its changes to a log, in the order of commits, numbered without gaps."""
 
 from __future__ import annotations
 
-import copy
 import datetime
 import json
 import random
@@ -114,9 +115,11 @@ class Collection:
 
     def insert_many(self, documents: Iterable[dict], session: tuple | None = None, on_progress: Callable[[int], None] | None = None) -> list:
         """Identifiers of the documents; those without one get one. All of them become visible together. session: (id, number); a
-        number that was used before inserts nothing again."""
-        if session is not None and session in self.db._done:
-            return self.db._done[session]
+        number that isn't above the session's last inserts nothing again, whoever asks: the catalog remembers it."""
+        if session is not None:
+            done = self.db._fresh()["sessions"].get(f"{self.name}/{session[0]}")
+            if done and done[0] >= session[1]:
+                return done[1]
         rows = []
         for d in documents:
             check_document(d)
@@ -133,55 +136,92 @@ class Collection:
             if on_progress:
                 on_progress(min(len(rows), k + BATCH))
         if new is not None:
-            self.insert_df(new)
+            self.insert_df(new, [f"{self.name}/{session[0]}", session[1], ids] if session is not None else None)
         for d in rows:
             for f in self.db._triggers("after", "insert", self.name):
                 f(d)
-        if session is not None:
-            self.db._done[session] = ids
         return ids
 
-    def insert_df(self, new: DataFrame) -> None:
-        """Rows of a DataFrame; it should have `_id`."""
+    def insert_df(self, new: DataFrame, session: list | None = None) -> None:
+        """Rows of a DataFrame; it should have `_id`. They are added in files of their own."""
         for index in self.indexes():
             if index.get("unique"):
                 self._check_unique(new, list(index["fields"]))
-        old = self.db._current(self.name)
-        whole = new
-        if old is not None:
-            a, b = aligned(self.df(), new)
-            whole = a.unionByName(b, allowMissingColumns=True)
-        self.db._replace(self.name, whole, new.select(F.lit("insert").alias("op"), *_image(new)))
+        part = self.db._part(self.name, new)
+        added = self.db._read_parts([part])
+        log = self.db._stage(self.name, added.select(F.lit("insert").alias("op"), *_image(added)))
+        self.db._write(self.name, lambda parts: ([*parts, part], [log]), session=session)
 
     def _check_unique(self, new: DataFrame, fields: list[str]) -> None:
         both = new.select(*fields) if self.db._current(self.name) is None else self.df().select(*fields).unionByName(new.select(*fields))
         if both.groupBy(*fields).count().where("count > 1").take(1):
             raise DatabaseError(f"{', '.join(fields)} must be unique in {self.name}")
 
-    def _change(self, filter: Any, one: bool) -> tuple[DataFrame, Any]:  # noqa: A002
-        """The documents, and a filter of what changes: all matches, or the one with the smallest identifier."""
-        df = self.df()
-        if not one:
-            return df, filter or {}
-        first = find(df, filter, sort={"_id": 1}, limit=1).select("_id").first()
-        return df, {"_id": {"$in": [first["_id"]]}} if first else {"$or": []}
+    def _hits(self, parts: list[dict], filter: Any, one: bool) -> tuple[DataFrame, Any, dict[str, list[str]], int]:  # noqa: A002
+        """The documents, a filter of what changes (all matches, or the one with the smallest identifier), the files that hold them by
+        folder, and how many they are. The filter runs once here, and once more over the files found."""
+        df = self.db._read_parts(parts, files_too=True)
+        where = filter or {}
+        hit = df.where(compile_filter(of(df), where))
+        if one:
+            first = hit.orderBy("_id").select("_id").first()
+            where = {"_id": {"$in": [first["_id"]]}} if first else {"$or": []}
+            hit = df.where(compile_filter(of(df), where))
+        touched: dict[str, list[str]] = {}
+        n = 0
+        for r in hit.groupBy(_FILE).agg(F.count("*").alias("n")).collect():  # a row for each file that holds a match
+            folder, name = r[_FILE].rsplit("/", 2)[1:]
+            touched.setdefault(folder, []).append(name)
+            n += r["n"]
+        return df, where, touched, n
+
+    def _rewrite(self, parts: list[dict], touched: dict[str, list[str]], f: Callable[[DataFrame], DataFrame]) -> list[dict]:
+        """The parts with f's rows in place of the touched files'."""
+        only = [p | {"only": touched[p["folder"]]} for p in parts if p["folder"] in touched]
+        new = self.db._part(self.name, f(self.db._read_parts(only, schema_of=parts)))
+        kept = [p | {"gone": sorted({*p.get("gone", []), *touched.get(p["folder"], [])})} for p in parts]
+        return [*(p for p in kept if len(p["gone"]) < p["files"]), new]
 
     def _update(self, filter: Any, spec: dict | UpdateBuilder, one: bool, upsert: bool = False) -> int:  # noqa: A002
         spec = spec.build() if isinstance(spec, UpdateBuilder) else spec
-        df, where = self._change(filter, one)
-        hit = df.where(compile_filter(of(df), where))
-        n = hit.count()
-        if not n:
-            if upsert:
-                base = {k: v for k, v in (filter or {}).items() if not k.startswith("$") and not isinstance(v, dict)}
-                row = files.documents(self.db.spark, [base | {"_id": base.get("_id", str(uuid.uuid4()))}])
-                self.insert_df(apply_update(row, spec))
-            return 0
         plain = {k: v for k, v in spec.items() if k != "$setOnInsert"} if upsert else spec
-        if plain:
+        touched_rows = 0
+
+        def write(parts: list[dict]) -> tuple[list[dict], list[dict]] | None:
+            nonlocal touched_rows
+            _, where, touched, touched_rows = self._hits(parts, filter, one)
+            if not touched_rows or not plain:
+                return None
+            before = self.db._read_parts([p | {"only": touched[p["folder"]]} for p in parts if p["folder"] in touched], schema_of=parts)
+            hit = before.where(compile_filter(of(before), where))
             changed = apply_update(hit.withColumn(_BEFORE, _json(hit)), plain)
-            self.db._replace(self.name, apply_update(df, plain, where), changed.select(F.lit("update").alias("op"), *_image(changed)))
-        return n
+            log = self.db._stage(self.name, changed.select(F.lit("update").alias("op"), *_image(changed)))
+            self._fire("before", "update", changed.drop(_BEFORE))
+            return self._rewrite(parts, touched, lambda df: apply_update(df, plain, where)), [log]
+
+        logs = self.db._write(self.name, write)
+        if not touched_rows and upsert:
+            base = {k: v for k, v in (filter or {}).items() if not k.startswith("$") and not isinstance(v, dict)}
+            row = files.documents(self.db.spark, [base | {"_id": base.get("_id", str(uuid.uuid4()))}])
+            self.insert_df(apply_update(row, spec))
+            return 0
+        self._fire_logged("update", logs)
+        return touched_rows
+
+    def _fire(self, when: str, op: str, df: DataFrame) -> None:
+        """Triggers see documents one by one; only where there is a trigger do they leave the executors."""
+        many = self.db._triggers(when, op, self.name)
+        if many:
+            for x in df.toJSON().toLocalIterator():
+                for f in many:
+                    f(json.loads(x))
+
+    def _fire_logged(self, op: str, logs: list[dict]) -> None:
+        if self.db._triggers("after", op, self.name):
+            for log in logs:
+                for r in self.db._staged_rows(log).where(F.col("ns") == self.name).select("document").toLocalIterator():
+                    for f in self.db._triggers("after", op, self.name):
+                        f(json.loads(r["document"]))
 
     def update(self, filter: Any, spec: Any, upsert: bool = False) -> int:  # noqa: A002
         return self._update(filter, spec, True, upsert)
@@ -190,19 +230,58 @@ class Collection:
         return self._update(filter, spec, False, upsert)
 
     def _delete(self, filter: Any, one: bool) -> int:  # noqa: A002
-        df, where = self._change(filter, one)
-        gone = df.where(compile_filter(of(df), where))
-        n = gone.count()
+        n = 0
+        children = [r for r in self.db.relations() if r["to"] == self.name]
+
+        def write(parts: list[dict]) -> tuple[list[dict], list[dict]] | None:
+            nonlocal n
+            _, where, touched, n = self._hits(parts, filter, one)
+            if not n:
+                return None
+            before = self.db._read_parts([p | {"only": touched[p["folder"]]} for p in parts if p["folder"] in touched], schema_of=parts)
+            gone = before.where(compile_filter(of(before), where))
+            self._fire("before", "delete", gone)
+            log = self.db._stage(self.name, gone.select(F.lit("delete").alias("op"), *_image(gone)))
+            for r in children:
+                self.db.collection(r["from"])._follow(gone.select(F.col(r["foreign"]).alias("__key")).distinct(), r)
+            return self._rewrite(parts, touched, lambda df: df.where(~sure(compile_filter(of(df), where)))), [log]
+
+        if children and self.db._staged is None:  # parents and children change together
+            with self.db.transaction():
+                logs = self.db._write(self.name, write)
+        else:
+            logs = self.db._write(self.name, write)
         if n:
-            for r in self.db.relations():
-                if r["to"] == self.name:
-                    child = self.db.collection(r["from"])
-                    left = relations.on_delete(child.df(), gone, r["local"], r["foreign"], r["on_delete"])
-                    if left is not child.df():
-                        self.db._replace(r["from"], left, None)
-            self.db._replace(self.name, df.where(~sure(compile_filter(of(df), where))), gone.select(F.lit("delete").alias("op"), *_image(gone)))
+            self._fire_logged("delete", logs)
         return n
 
+    def _follow(self, keys: DataFrame, r: dict) -> None:
+        """What a relation does to the rows whose parents' keys go; nothing is written where no row has one of them."""
+        local = r["local"]
+
+        def write(parts: list[dict]) -> tuple[list[dict], list[dict]] | None:
+            df = self.db._read_parts(parts, files_too=True)
+            if local not in df.columns:
+                return None
+            hit = df.join(keys, F.col(local) == F.col("__key"), "left_semi")
+            found = [r[_FILE].rsplit("/", 2)[1:] for r in hit.select(_FILE).distinct().collect()]  # files
+            if not found:
+                return None
+            if r["on_delete"] == "restrict":
+                raise relations.IntegrityError(f"rows still refer to {r['foreign']}")
+            touched: dict[str, list[str]] = {}
+            for folder, name in found:
+                touched.setdefault(folder, []).append(name)
+            plain = hit.drop(_FILE)
+            if r["on_delete"] == "cascade":
+                log = plain.select(F.lit("delete").alias("op"), *_image(plain))
+            else:
+                now = plain.withColumn(_BEFORE, _json(plain)).withColumn(local, F.lit(None).cast(plain.schema[local].dataType))
+                log = now.select(F.lit("update").alias("op"), *_image(now))
+            return self._rewrite(parts, touched, lambda x: relations.on_delete(x, keys, local, "__key", r["on_delete"])), [self.db._stage(self.name, log)]
+
+        self.db._write(self.name, write)
+
     def delete(self, filter: Any) -> int:  # noqa: A002
         return self._delete(filter, True)
 
@@ -229,38 +308,50 @@ class Collection:
         name = options.pop("name", None) or "_".join(f"{k}_{v}" for k, v in fields.items())
         if options.get("unique") and self.db._current(self.name) is not None and self.df().groupBy(*fields).count().where("count > 1").take(1):
             raise DatabaseError(f"{', '.join(fields)} isn't unique in {self.name}")
-        self.db._meta(self.name).setdefault("indexes", {})[name] = {"name": name, "fields": fields, "hidden": False} | options
-        self.db._save()
+        self.db._edit(lambda c: _meta(c, self.name).setdefault("indexes", {}).update({name: {"name": name, "fields": fields, "hidden": False} | options}))
         return name
 
     def indexes(self) -> list[dict]:
-        return list(self.db._meta(self.name).get("indexes", {}).values())
+        return list(self.db._fresh()["collections"].get(self.name, {}).get("indexes", {}).values())
 
     def drop_index(self, name: str) -> bool:
-        gone = self.db._meta(self.name).get("indexes", {}).pop(name, None)
-        self.db._save()
-        return gone is not None
+        return self.db._edit(lambda c: _meta(c, self.name).get("indexes", {}).pop(name, None)) is not None
 
     def hide_index(self, name: str, hidden: bool = True) -> None:
-        self.db._meta(self.name)["indexes"][name]["hidden"] = hidden
-        self.db._save()
+        self.db._edit(lambda c: _meta(c, self.name)["indexes"][name].update(hidden=hidden))
 
     def versions(self) -> list[dict]:
         """Numbers, times and tags of all versions."""
-        return copy.deepcopy(self.db._meta(self.name).get("versions", []))
+        return [{k: v for k, v in x.items() if k != "manifest"} for x in self.db._fresh()["collections"].get(self.name, {}).get("versions", [])]
 
     def tag(self, name: str, version: int | None = None) -> None:
-        for v in self.db._meta(self.name)["versions"]:
-            if v["version"] == (version or self.db._current(self.name)):
-                v["tag"] = name
-        self.db._save()
+        def put(c: dict) -> None:
+            meta = _meta(c, self.name)
+            for v in meta["versions"]:
+                if v["version"] == (version or meta["current"]):
+                    v["tag"] = name
+
+        self.db._edit(put)
 
     def rollback(self, version: int | str) -> int:
-        """An older version, by number or tag, as a new one."""
+        """An older version, by number or tag, as a new one: its files are listed again, nothing is copied."""
         n = next(v["version"] for v in self.versions() if version in (v["version"], v.get("tag")))
-        self.db._replace(self.name, self.df(n), None)
+        parts = self.db._parts_of(self.name, n)
+        self.db._write(self.name, lambda now: (parts, [self.db._difference(self.name, now, parts)]))
         return self.db._current(self.name)
 
+    def compact(self) -> int:
+        """The current version in one folder of fresh files; how many folders it was. Contents and changes stay as they are."""
+        was = 0
+
+        def write(parts: list[dict]) -> tuple[list[dict], list[dict]]:
+            nonlocal was
+            was = len(parts)
+            return [self.db._part(self.name, self.db._read_parts(parts))], []
+
+        self.db._write(self.name, write)
+        return was
+
     def watch(self, callback: Callable[[dict], None], since: int = 0, once: bool = False) -> Any:
         return changes.watch(changes.stream(self.db.spark, self.db._log, self.name, since), callback, f"{self.db.path}/_watch/{uuid.uuid4().hex}", once)
 
@@ -269,7 +360,41 @@ class Collection:
         return self.delete_many({field: {"$lte": (now or datetime.datetime.now(datetime.UTC).replace(tzinfo=None)) - datetime.timedelta(seconds=seconds)}})
 
 
-_BEFORE = "__before"
+_BEFORE, _FILE = "__before", "__file"
+
+
+def _meta(catalog: dict, name: str) -> dict:
+    return catalog["collections"].setdefault(name, {"versions": [], "current": None})
+
+
+def _merged(schemas: list[T.StructType]) -> T.StructType:
+    """One schema for rows of several: numbers widen, other differences become text."""
+    kinds: dict[str, T.DataType] = {}
+    for s in schemas:
+        for f in s.fields:
+            if f.name in kinds and kinds[f.name] != f.dataType:
+                try:
+                    kinds[f.name] = files.merged_kind([kinds[f.name], f.dataType])
+                except TypeError:
+                    kinds[f.name] = T.StringType()
+            else:
+                kinds[f.name] = f.dataType
+    return T.StructType([T.StructField(k, v) for k, v in kinds.items()])
+
+
+def _as_kind(value: Column, kind: T.DataType, to: T.DataType) -> Column:
+    """A value in a merged kind; structs by name, as casts go by place."""
+    if kind == to:
+        return value
+    if isinstance(to, T.StringType) and isinstance(kind, T.StructType | T.ArrayType | T.MapType):
+        return F.to_json(value)
+    if isinstance(kind, T.StructType) and isinstance(to, T.StructType):
+        own = set(kind.fieldNames())
+        inner = [(_as_kind(value[f.name], kind[f.name].dataType, f.dataType) if f.name in own else F.lit(None).cast(f.dataType)).alias(f.name) for f in to.fields]
+        return F.when(value.isNotNull(), F.struct(*inner))
+    if isinstance(kind, T.ArrayType) and isinstance(to, T.ArrayType):
+        return F.transform(value, lambda x: _as_kind(x, kind.elementType, to.elementType))
+    return value.cast(to)
 
 
 def _json(df: DataFrame) -> Column:
@@ -283,91 +408,260 @@ def _image(df: DataFrame) -> list[Column]:
     return [key.alias("key"), _json(df).alias("document"), before.alias("before")]
 
 
+#: Folders of a collection from which on a write makes one of them, and catalogs that are kept.
+FOLDERS, CATALOGS = 200, 50
+
+
 class Database:
     def __init__(self, spark: SparkSession, path: str, read_only: bool = False) -> None:
         self.spark, self.path, self.read_only = spark, path.rstrip("/"), read_only
         self._log = f"{self.path}/_changes"
-        text = files.read_text(spark, f"{self.path}/catalog.json")
-        self._catalog: dict = json.loads(text) if text else {"collections": {}, "views": {}, "relations": {}, "pragmas": {}, "seq": 0}
+        self._number, self._catalog = self._latest()
+        self._manifests: dict[str, list[dict]] = {}
         self._attached: dict[str, Database] = {}
         self._trigger: list[tuple[str, str, str, str, Callable]] = []
-        self._done: dict[tuple, list] = {}
-        self._staged: dict[str, int] | None = None
-        self._pending: list[DataFrame] = []
+        self._staged: dict[str, str] | None = None
+        self._pending: list[dict] = []
+        self._sessions: list[list] = []
         self._started = time.time()
 
-    # ---- storage
-    def _meta(self, name: str) -> dict:
-        return self._catalog["collections"].setdefault(name, {"versions": [], "current": None})
+    # ---- catalogs
+    def _latest(self) -> tuple[int, dict]:
+        """The catalog with the largest number. One that goes while it is being read has a follower."""
+        for _ in range(20):
+            names = [n for n in files.listing(self.spark, f"{self.path}/_catalog") if n.endswith(".json") and n[:-5].isdigit()]
+            if not names:
+                return 0, {"collections": {}, "views": {}, "relations": {}, "pragmas": {}, "sessions": {}, "seq": 0, "unpublished": []}
+            text = files.read_text(self.spark, f"{self.path}/_catalog/{names[-1]}")
+            if text:
+                return int(names[-1][:-5]), json.loads(text)
+        raise DatabaseError("the catalog can't be read")
+
+    def _fresh(self) -> dict:
+        if self._staged is None:
+            self._number, self._catalog = self._latest()
+        return self._catalog
+
+    def _try(self, number: int, catalog: dict) -> bool:
+        """Creates the catalog that follows a number, unless somebody else did."""
+        if self.read_only:
+            raise DatabaseError("this database is open for reading only")
+        if not files.create_text(self.spark, f"{self.path}/_catalog/{number + 1:012d}.json", json.dumps(catalog)):
+            return False
+        self._number, self._catalog = number + 1, catalog
+        if number >= CATALOGS:
+            files.delete(self.spark, f"{self.path}/_catalog/{number + 1 - CATALOGS:012d}.json")
+        return True
+
+    def _edit(self, f: Callable[[dict], Any]) -> Any:
+        """Changes the catalog, again from the newest one if another writer was first."""
+        if self._staged is not None:
+            base = self._catalog  # a transaction's other edits aren't undone with it
+        while True:
+            number, catalog = self._latest()
+            out = f(catalog)
+            if self._try(number, catalog):
+                if self._staged is not None:
+                    self._catalog = base | {k: catalog[k] for k in ("views", "relations", "pragmas")}
+                return out
+
+    # ---- versions
+    def _manifest(self, name: str, version: int | None = None) -> str | None:
+        if version is None and self._staged is not None and name in self._staged:
+            return self._staged[name]
+        meta = self._catalog["collections"].get(name, {})
+        n = version or meta.get("current")
+        return next((v["manifest"] for v in meta.get("versions", []) if v["version"] == n), None)
 
     def _current(self, name: str) -> int | None:
-        if self._staged is not None and name in self._staged:
-            return self._staged[name]
         return self._catalog["collections"].get(name, {}).get("current")
 
-    def _save(self) -> None:
-        if self.read_only:
-            raise DatabaseError("this database is open for reading only")
-        files.write_text(self.spark, f"{self.path}/catalog.json", json.dumps(self._catalog))
+    def _parts_of(self, name: str, version: int | None = None) -> list[dict]:
+        ident = self._manifest(name, version)
+        if ident is None:
+            if version is not None:
+                raise DatabaseError(f"{name} has no version {version}")
+            return []
+        if ident not in self._manifests:
+            self._manifests[ident] = json.loads(files.read_text(self.spark, f"{self.path}/{name}/_manifest/{ident}.json") or "[]")
+        return self._manifests[ident]
 
     def _read(self, name: str, version: int | None = None) -> DataFrame:
-        n = version or self._current(name)
-        if n is None:
-            return self.spark.createDataFrame([], "_id string")
-        return self.spark.read.parquet(f"{self.path}/{name}/v{n}")
+        self._fresh()
+        return self._read_parts(self._parts_of(name, version))
 
-    def _replace(self, name: str, df: DataFrame, change: DataFrame | None) -> None:
-        """A new version of a collection, current at once or with the transaction."""
+    def _part(self, name: str, df: DataFrame) -> dict:
+        """Rows in a folder of their own, listed nowhere yet."""
         if self.read_only:
             raise DatabaseError("this database is open for reading only")
-        meta = self._meta(name)
-        n = max([0, *(v["version"] for v in meta["versions"])]) + 1
         solid = df.select(*[F.col(f"`{f.name}`").cast("string").alias(f.name) if isinstance(f.dataType, T.NullType) else F.col(f"`{f.name}`") for f in df.schema])
-        solid.write.mode("overwrite").parquet(f"{self.path}/{name}/v{n}")
-        meta["versions"].append({"version": n, "at": datetime.datetime.now(datetime.UTC).isoformat()})
-        log = None
-        if change is not None:
-            log = f"{self.path}/_staged/{uuid.uuid4().hex}"  # its rows are as they were before the new version
-            change.withColumn("ns", F.lit(name)).write.parquet(log)
-        if self._staged is not None:
-            self._staged[name] = n
-            self._pending += [log] if log else []
-            return
-        meta["current"] = n
-        self._append([log] if log else [])
-        self._save()
-        self._refresh_on_write(name)
-
-    def _append(self, logs: list[str]) -> None:
-        """Numbers changes and appends them. Each staged log has its own range: Spark's partition-wise numbers, so no task sorts all."""
-        for path in logs:
-            rows = self.spark.read.parquet(path)
-            n = rows.count()
-            start = self._catalog["seq"]
-            numbered = rows.coalesce(1) if n < 100_000 else rows
-            numbered = numbered.withColumn("seq", F.monotonically_increasing_id() + F.lit(start + 1))
-            top = numbered.agg(F.max("seq")).first()[0]
-            numbered.select("seq", "op", "ns", "key", "document", "before", F.current_timestamp().alias("ts")).write.mode("append").parquet(self._log)
-            self._catalog["seq"] = max(start, top or start)
-            files.delete(self.spark, path)
+        folder = uuid.uuid4().hex
+        solid.write.parquet(f"{self.path}/{name}/{folder}")
+        n = sum(x.endswith(".parquet") for x in files.listing(self.spark, f"{self.path}/{name}/{folder}"))
+        return {"folder": folder, "at": f"{self.path}/{name}/{folder}", "files": n, "schema": solid.schema.jsonValue()}
+
+    def _read_parts(self, parts: list[dict], files_too: bool = False, schema_of: list[dict] | None = None) -> DataFrame:
+        """The rows of parts, one scan for each schema. files_too: with the file of each."""
+        if not parts:
+            df = self.spark.createDataFrame([], "_id string")
+            return df.withColumn(_FILE, F.lit("")) if files_too else df
+        groups: dict[str, list[str]] = {}
+        for p in parts:
+            if "only" in p or p.get("gone"):
+                names = p.get("only") or [x for x in files.listing(self.spark, p["at"]) if x.endswith(".parquet") and x not in p["gone"]]
+                paths = [f"{p['at']}/{x}" for x in names]
+            else:
+                paths = [p["at"]]
+            groups.setdefault(json.dumps(p["schema"]), []).extend(paths)
+        whole = _merged([T.StructType.fromJson(p["schema"]) for p in (schema_of or parts)])
+        out: DataFrame | None = None
+        for text, paths in groups.items():
+            own = T.StructType.fromJson(json.loads(text))
+            df = self.spark.read.schema(own).parquet(*paths)
+            columns = [(_as_kind(F.col(f"`{f.name}`"), own[f.name].dataType, f.dataType) if f.name in own.fieldNames() else F.lit(None).cast(f.dataType)).alias(f.name) for f in whole.fields]
+            df = df.select(*columns, F.col("_metadata.file_path").alias(_FILE)) if files_too else df.select(*columns)
+            out = df if out is None else out.unionByName(df)
+        return out
+
+    def _stage(self, name: str, change: DataFrame) -> dict:
+        """Changes in files that no log lists yet."""
+        ident = uuid.uuid4().hex
+        change.withColumn("ns", F.lit(name)).select("op", "ns", "key", "document", "before").write.parquet(f"{self.path}/_staged/{ident}")
+        return {"id": ident, "n": self._staged_rows({"id": ident}).count()}
+
+    def _staged_rows(self, log: dict) -> DataFrame:
+        for path in (f"{self.path}/_staged/{log['id']}", *([f"{self._log}/c{log['start']:020d}"] if "start" in log else [])):
+            if files.exists(self.spark, path):
+                return self.spark.read.schema("op string, ns string, key string, document string, before string").parquet(path)
+        raise DatabaseError("the changes are gone")
+
+    def _write(self, name: str, f: Callable[[list[dict]], tuple[list[dict], list[dict]] | None], session: list | None = None) -> list[dict]:
+        """Commits f's parts and changes in place of the current ones, at once or with the transaction. Where another writer changed the
+        collection meanwhile, f starts again from what it left."""
+        while True:
+            if self._staged is None:
+                self._fresh()
+            base = self._manifest(name)
+            made = f(self._parts_of(name))
+            if made is None:
+                return []
+            parts, logs = made
+            if len(parts) > FOLDERS:
+                parts = [self._part(name, self._read_parts(parts))]
+            ident = uuid.uuid4().hex
+            files.write_text(self.spark, f"{self.path}/{name}/_manifest/{ident}.json", json.dumps(parts))
+            self._manifests[ident] = parts
+            if self._staged is not None:
+                self._staged[name] = ident
+                self._pending += logs
+                self._sessions += [session] if session else []
+                return logs
+            done = self._commit({name: ident}, {name: base}, logs, [session] if session else [])
+            if done is not None:
+                self._refresh_on_write(name)
+                return done
+
+    def _commit(self, new: dict[str, str], base: dict[str, str | None], logs: list[dict], sessions: list[list]) -> list[dict] | None:
+        """None where a collection isn't any more what the write was made from."""
+        while True:
+            number, catalog = self._latest()
+            for name, ident in base.items():
+                meta = catalog["collections"].get(name, {})
+                if next((v["manifest"] for v in meta.get("versions", []) if v["version"] == meta.get("current")), None) != ident:
+                    return None
+            now = datetime.datetime.now(datetime.UTC).isoformat()
+            for name, ident in new.items():
+                meta = _meta(catalog, name)
+                n = max([0, *(v["version"] for v in meta["versions"])]) + 1
+                meta["versions"].append({"version": n, "at": now, "manifest": ident})
+                meta["current"] = n
+            told = []
+            for log in logs:
+                if log["n"]:
+                    told.append(log | {"start": catalog["seq"] + 1, "ts": now})
+                    catalog["seq"] += log["n"]
+            catalog["unpublished"] = [*catalog["unpublished"], *told]
+            for key, count, ids in sessions:
+                catalog["sessions"][key] = [count, ids]
+            if self._try(number, catalog):
+                self._publish()
+                return told
+
+    def _publish(self) -> None:
+        """Puts committed changes into the log, each set as one folder that appears whole. What a writer that ended in between left is
+        put there by the next one; a folder that is there already is left as it is."""
+        todo = self._catalog["unpublished"]
+        for log in todo:
+            staged, target = f"{self.path}/_staged/{log['id']}", f"{self._log}/c{log['start']:020d}"
+            if not files.exists(self.spark, target):
+                rows = self.spark.read.schema("op string, ns string, key string, document string, before string").parquet(staged)
+                rows = rows.select("*", F.spark_partition_id().alias("__p"), F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1).alias("__i"))
+                sizes = dict(rows.groupBy("__p").count().collect())  # a row for each partition
+                starts, at = {}, log["start"]
+                for k in sorted(sizes):
+                    starts[k], at = at, at + sizes[k]
+                first = F.element_at(F.create_map(*[F.lit(x) for kv in starts.items() for x in kv]), F.col("__p"))
+                made = rows.select((first + F.col("__i")).cast("long").alias("seq"), "op", "ns", "key", "document", "before", F.lit(log["ts"]).cast("timestamp").alias("ts"))
+                made.write.mode("overwrite").parquet(f"{staged}-numbered")
+                files.move(self.spark, f"{staged}-numbered", target)
+            files.delete(self.spark, staged)
+        if todo:
+            ids = {x["id"] for x in todo}
+            while True:
+                number, catalog = self._latest()
+                catalog["unpublished"] = [x for x in catalog["unpublished"] if x["id"] not in ids]
+                if self._try(number, catalog):
+                    return
+
+    def _difference(self, name: str, old: list[dict], new: list[dict]) -> dict:
+        """The changes between two sets of parts, by identifier; one `invalidate` where there is none."""
+        a, b = self._read_parts(old), self._read_parts(new)
+        if "_id" not in a.columns or "_id" not in b.columns:
+            none = F.lit(None).cast("string")
+            return self._stage(name, self.spark.range(1).select(F.lit("invalidate").alias("op"), none.alias("key"), none.alias("document"), none.alias("before")))
+        a = a.select(F.col("_id").cast("string").alias("key"), _json(a).alias("before"))
+        b = b.select(F.col("_id").cast("string").alias("key"), _json(b).alias("document"))
+        both = a.join(b, "key", "full").where(~F.col("before").eqNullSafe(F.col("document")))
+        op = F.when(F.col("before").isNull(), "insert").when(F.col("document").isNull(), "delete").otherwise("update")
+        return self._stage(name, both.select(op.alias("op"), "key", F.coalesce("document", "before").alias("document"), F.when(F.col("document").isNotNull(), F.col("before")).alias("before")))
+
+    def _replace(self, name: str, df: DataFrame) -> None:
+        """All rows of a collection anew; its log tells what differs."""
+        part = self._part(name, df)
+        self._write(name, lambda now: ([part], [self._difference(name, now, [part])]))
 
     def _write_stage(self, name: str, df: DataFrame, mode: str, on: list[str]) -> None:
         """What $out and $merge do."""
         if mode == "overwrite":
-            return self._replace(name, df, None)
+            return self._replace(name, df)
         _, matched, unmatched = mode.split(":")
-        if self._current(name) is None:
-            return self._replace(name, df if unmatched == "insert" else df.limit(0), None)
-        old, new = aligned(self._read(name), df)
-        if matched == "fail" and new.join(old.select(*on), on, "left_semi").take(1):
-            raise DatabaseError("a row is there already")
-        both = new.join(old.select(*on), on, "left_semi")
-        kept = old.join(new.select(*on), on, "left_anti") if matched == "replace" else old
-        parts = [kept, *([both] if matched == "replace" else []), *([new.join(old.select(*on), on, "left_anti")] if unmatched == "insert" else [])]
-        out = parts[0]
-        for p in parts[1:]:
-            out = out.unionByName(p, allowMissingColumns=True)
-        return self._replace(name, out, None)
+
+        def write(parts: list[dict]) -> tuple[list[dict], list[dict]]:
+            if not parts:
+                made = [self._part(name, df if unmatched == "insert" else df.limit(0))]
+                return made, [self._difference(name, [], made)]
+            old, new = aligned(self._read_parts(parts), df)
+            keys = old.select(*on).distinct()
+            there = new.join(keys, on, "left_semi")
+            if matched == "fail" and there.take(1):
+                raise DatabaseError("a row is there already")
+            if unmatched == "fail" and new.join(keys, on, "left_anti").take(1):
+                raise DatabaseError("a row isn't there")
+            out = old
+            if matched == "replace":
+                out = old.join(new.select(*on), on, "left_anti").unionByName(there, allowMissingColumns=True)
+            elif matched == "merge":  # the new row's fields over the old one's
+                mine = new.select(*on, F.struct(*[F.col(f"`{c}`") for c in new.columns]).alias("__new")).dropDuplicates(on)
+                out = old.join(mine, on, "left")
+                fresh = [c for c in new.columns if c not in on]
+                out = out.withColumns({c: F.when(F.col("__new").isNotNull(), F.col("__new")[c]).otherwise(F.col(f"`{c}`") if c in old.columns else F.lit(None)) for c in fresh}).drop("__new")
+            if unmatched == "insert":
+                out = out.unionByName(new.join(keys, on, "left_anti"), allowMissingColumns=True)
+            made = [self._part(name, out)]
+            return made, [self._difference(name, parts, made)]
+
+        self._write(name, write)
+        return None
 
     # ---- collections
     def collection(self, name: str) -> Collection:
@@ -376,29 +670,27 @@ class Database:
     __getitem__ = collection
 
     def create_collection(self, name: str, **options: Any) -> Collection:
-        self._meta(name).update({k: v for k, v in options.items() if v is not None})
-        self._save()
+        self._edit(lambda c: _meta(c, name).update({k: v for k, v in options.items() if v is not None}))
         return self.collection(name)
 
     def drop_collection(self, name: str) -> bool:
-        gone = self._catalog["collections"].pop(name, None)
-        self._save()
+        gone = self._edit(lambda c: c["collections"].pop(name, None))
         files.delete(self.spark, f"{self.path}/{name}")
         return gone is not None
 
     def collections(self) -> list[str]:
-        return sorted(n for n, m in self._catalog["collections"].items() if m.get("current") is not None or n in (self._staged or {}))
+        return sorted(n for n, m in self._fresh()["collections"].items() if m.get("current") is not None or n in (self._staged or {}))
 
     def table(self, name: str) -> DataFrame:
         """A collection, a view, or alias.name of an attached database."""
         alias, _, rest = name.partition(".")
         if rest and alias in self._attached:
             return self._attached[alias].table(rest)
-        return self.view(name) if name in self._catalog["views"] else self._read(name)
+        return self.view(name) if name in self._fresh()["views"] else self._read(name)
 
     def register(self, name: str, df: DataFrame) -> Collection:
         """A DataFrame as a collection."""
-        self._replace(name, df, None)
+        self._replace(name, df)
         return self.collection(name)
 
     # ---- SQL
@@ -420,65 +712,65 @@ class Database:
     # ---- views
     def create_view(self, name: str, source: str, pipeline: list[dict], materialized: bool = False, refresh: str = "manual") -> None:
         """refresh: manual, or on_write of the source."""
-        self._catalog["views"][name] = {"source": source, "pipeline": pipeline, "materialized": materialized, "refresh": refresh}
+        spec = {"source": source, "pipeline": pipeline, "materialized": materialized, "refresh": refresh}
         if materialized:
-            self.refresh_view(name)
-        self._save()
+            spec["at"] = self._view_files(name, spec)
+        self._edit(lambda c: c["views"].update({name: spec}))
 
-    def _run_view(self, name: str) -> DataFrame:
-        v = self._catalog["views"][name]
+    def _run_view(self, v: dict) -> DataFrame:
         return run_pipeline(self.table(v["source"]), v["pipeline"], tables=self.table)
 
+    def _view_files(self, name: str, v: dict) -> str:
+        at = uuid.uuid4().hex
+        self._run_view(v).write.parquet(f"{self.path}/_views/{name}/{at}")
+        return at
+
     def view(self, name: str) -> DataFrame:
-        v = self._catalog["views"][name]
-        return self.spark.read.parquet(f"{self.path}/_views/{name}/{v['at']}") if v["materialized"] else self._run_view(name)
+        v = self._fresh()["views"][name]
+        return self.spark.read.parquet(f"{self.path}/_views/{name}/{v['at']}") if v["materialized"] else self._run_view(v)
 
     def refresh_view(self, name: str) -> None:
-        v, at = self._catalog["views"][name], uuid.uuid4().hex
-        self._run_view(name).write.parquet(f"{self.path}/_views/{name}/{at}")
-        v["at"] = at
-        self._save()
+        at = self._view_files(name, self._fresh()["views"][name])
+        self._edit(lambda c: c["views"][name].update(at=at))
 
     def _refresh_on_write(self, source: str) -> None:
-        for name, v in self._catalog["views"].items():
+        for name, v in list(self._catalog["views"].items()):
             if v["materialized"] and v["refresh"] == "on_write" and v["source"] == source:
                 self.refresh_view(name)
 
     def drop_view(self, name: str) -> bool:
-        gone = self._catalog["views"].pop(name, None)
+        gone = self._edit(lambda c: c["views"].pop(name, None))
         files.delete(self.spark, f"{self.path}/_views/{name}")
-        self._save()
         return gone is not None
 
     def views(self) -> list[dict]:
-        return [{"name": n} | v for n, v in self._catalog["views"].items()]
+        return [{"name": n} | v for n, v in self._fresh()["views"].items()]
 
     # ---- relations
     def define_relation(self, name: str, source: str, target: str, local: str, foreign: str = "_id", on_delete: str = "restrict", one: bool = False) -> None:
-        self._catalog["relations"][name] = {"name": name, "from": source, "to": target, "local": local, "foreign": foreign, "on_delete": on_delete, "one": one}
-        self._save()
+        spec = {"name": name, "from": source, "to": target, "local": local, "foreign": foreign, "on_delete": on_delete, "one": one}
+        self._edit(lambda c: c["relations"].update({name: spec}))
 
     def drop_relation(self, name: str) -> bool:
-        gone = self._catalog["relations"].pop(name, None)
-        self._save()
-        return gone is not None
+        return self._edit(lambda c: c["relations"].pop(name, None)) is not None
 
     def relations(self) -> list[dict]:
-        return list(self._catalog["relations"].values())
+        return list(self._fresh()["relations"].values())
 
     def populate(self, relation: str, filter: Any = None, pipeline: list[dict] | None = None) -> DataFrame:  # noqa: A002
-        r = self._catalog["relations"][relation]
+        r = self._fresh()["relations"][relation]
         other = self.table(r["to"])
         other = run_pipeline(other, pipeline, tables=self.table) if pipeline else other
         return relations.populate(find(self.table(r["from"]), filter), other, r["local"], r["foreign"], relation, r["one"])
 
     def check_relation(self, relation: str) -> DataFrame:
-        r = self._catalog["relations"][relation]
+        r = self._fresh()["relations"][relation]
         return relations.violations(self.table(r["from"]), self.table(r["to"]), r["local"], r["foreign"])
 
     # ---- triggers
     def create_trigger(self, name: str, when: str, op: str, collection: str, f: Callable) -> None:
-        """when: before or after; op: insert. Runs in the driver, for documents that come from Python."""
+        """when: before or after; op: insert, update or delete. Runs in the driver, document by document: of inserts for those that come
+        from Python, which a `before` trigger may change; of updates and deletes for all that change."""
         self._trigger.append((name, when, op, collection, f))
 
     def drop_trigger(self, name: str) -> None:
@@ -542,7 +834,7 @@ class Database:
 
     def restore(self, path: str) -> None:
         for name, df in files.restore(self.spark, path).items():
-            self._replace(name, df, None)
+            self._replace(name, df)
 
     def put_blob(self, data: bytes) -> str:
         key = str(uuid.uuid4())
@@ -562,49 +854,45 @@ class Database:
 
     def pragma(self, name: str, *value: Any) -> Any:
         if value:
-            self._catalog["pragmas"][name] = value[0]
-            self._save()
-        return self._catalog["pragmas"].get(name)
+            self._edit(lambda c: c["pragmas"].update({name: value[0]}))
+        return self._fresh()["pragmas"].get(name)
 
     def check_filter(self, spec: Any, **limits: Any) -> None:
         check_filter(spec, **limits)
 
     def metrics(self) -> dict:
-        return {"collections": len(self.collections()), "views": len(self._catalog["views"]), "relations": len(self._catalog["relations"]), "changes": self._catalog["seq"], "uptime_s": time.time() - self._started, "spark": self.spark.version}
+        return {"collections": len(self.collections()), "views": len(self._catalog["views"]), "relations": len(self._catalog["relations"]), "changes": self._fresh()["seq"], "uptime_s": time.time() - self._started, "spark": self.spark.version}
 
 
 class Transaction:
-    """Versions that aren't current yet. Reads inside see them; savepoints are copies of the list."""
+    """Manifests that no catalog lists yet. Reads inside see them, and of other collections what was current when it began; savepoints
+    are copies of the list."""
 
     def __init__(self, db: Database) -> None:
         self.db = db
-        self.base = {n: m.get("current") for n, m in db._catalog["collections"].items()}
-        db._staged, db._pending = {}, []
-        self._points: dict[str, tuple[dict, list]] = {}
+        db._fresh()
+        self.base = {n: db._manifest(n) for n in db._catalog["collections"]}
+        db._staged, db._pending, db._sessions = {}, [], []
+        self._points: dict[str, tuple[dict, list, list]] = {}
 
     def savepoint(self, name: str) -> None:
         if len(self._points) >= 16:
             raise DatabaseError("there are 16 savepoints already")
-        self._points[name] = (dict(self.db._staged or {}), list(self.db._pending))
+        self._points[name] = (dict(self.db._staged or {}), list(self.db._pending), list(self.db._sessions))
 
     def rollback_to(self, name: str) -> None:
-        staged, pending = self._points[name]
-        self.db._staged, self.db._pending = dict(staged), list(pending)
+        staged, pending, sessions = self._points[name]
+        self.db._staged, self.db._pending, self.db._sessions = dict(staged), list(pending), list(sessions)
 
     def commit(self) -> None:
-        db, staged, pending = self.db, self.db._staged or {}, self.db._pending
-        text = files.read_text(db.spark, f"{db.path}/catalog.json")
-        stored = json.loads(text)["collections"] if text else {}
-        for name in staged:
-            if stored.get(name, {}).get("current") != self.base.get(name):
-                raise Conflict(f"{name} was changed meanwhile")
-        db._staged, db._pending = None, []
-        for name, n in staged.items():
-            db._meta(name)["current"] = n
-        db._append(pending)
-        db._save()
+        db, staged, pending, sessions = self.db, self.db._staged or {}, self.db._pending, self.db._sessions
+        db._staged, db._pending, db._sessions = None, [], []
+        if not staged:
+            return
+        if db._commit(staged, {n: self.base.get(n) for n in staged}, pending, sessions) is None:
+            raise Conflict(f"{', '.join(staged)}: changed meanwhile")
         for name in staged:
             db._refresh_on_write(name)
 
     def abort(self) -> None:
-        self.db._staged, self.db._pending = None, []
+        self.db._staged, self.db._pending, self.db._sessions = None, [], []

@@ -370,7 +370,7 @@ def out(s: State, spec: Any) -> DataFrame:
 
 @stage("$merge")
 def merge(s: State, spec: Any) -> DataFrame:
-    """Rows into a collection by `on` (`_id`): {into, on, whenMatched: replace, keepExisting or fail, whenNotMatched: insert or discard}."""
+    """Rows into a collection by `on` (`_id`): {into, on, whenMatched: replace, merge, keepExisting or fail, whenNotMatched: insert, discard or fail}."""
     spec = {"into": spec} if isinstance(spec, str) else spec
     on = spec.get("on", "_id")
     on = [on] if isinstance(on, str) else list(on)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import os
 import uuid
 from collections.abc import Iterable
 from typing import Any
@@ -31,17 +32,52 @@ def read_text(spark: SparkSession, path: str) -> str | None:
     return "\n".join(r[0] for r in spark.read.text(path, wholetext=True).collect())
 
 
-def write_text(spark: SparkSession, path: str, text: str) -> None:
-    """Written beside and renamed, so that a reader sees the old text or the new."""
+def _beside(spark: SparkSession, path: str, text: str) -> tuple[Any, Any, Any]:
     fs, p = _fs(spark, path)
-    jvm = spark.sparkContext._jvm
-    beside = jvm.org.apache.hadoop.fs.Path(f"{path}.{uuid.uuid4().hex}")
+    beside = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(p.getParent(), f".{uuid.uuid4().hex}")
     out = fs.create(beside, True)
     out.write(bytearray(text.encode()))
     out.close()
-    fs.delete(p, False)
-    if not fs.rename(beside, p):
-        raise OSError(f"{path} can't be written")
+    return fs, p, beside
+
+
+def create_text(spark: SparkSession, path: str, text: str) -> bool:
+    """Creates a file with its whole text, or tells that there is one already. Of several writers one succeeds: a local file is linked
+    to its name, which fails where the name is taken; elsewhere the store's rename must refuse a name that is taken, as HDFS does."""
+    fs, p, beside = _beside(spark, path, text)
+    try:
+        if fs.getScheme() == "file":
+            try:
+                os.link(beside.toUri().getPath(), p.toUri().getPath())
+            except FileExistsError:
+                return False
+            return True
+        return not fs.exists(p) and bool(fs.rename(beside, p))
+    finally:
+        fs.delete(beside, False)
+
+
+def write_text(spark: SparkSession, path: str, text: str) -> None:
+    """Written beside and put in place in one step where the store can, so that a reader sees the old text or the new."""
+    fs, p, beside = _beside(spark, path, text)
+    options = spark.sparkContext._gateway.new_array(spark.sparkContext._jvm.org.apache.hadoop.fs.Options.Rename, 1)
+    options[0] = spark.sparkContext._jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
+    context = spark.sparkContext._jvm.org.apache.hadoop.fs.FileContext.getFileContext(fs.getUri(), spark.sparkContext._jsc.hadoopConfiguration())
+    context.rename(beside, p, options)
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    fs, p = _fs(spark, path)
+    return bool(fs.exists(p))
+
+
+def move(spark: SparkSession, path: str, to: str) -> None:
+    """A folder under another name; left where it is if the name is taken."""
+    fs, p = _fs(spark, path)
+    _, q = _fs(spark, to)
+    fs.mkdirs(q.getParent())
+    if fs.exists(q) or not fs.rename(p, q):
+        fs.delete(p, True)
 
 
 def delete(spark: SparkSession, path: str) -> None:

@@ -162,3 +162,121 @@ def test_watch_and_streams(db, spark, tmp_path):
     sums = []
     changes.keep_sum(source.withColumn("v", F.lit(1)), "k", "v", "total", str(tmp_path / "cp"), lambda b: sums.extend(b.collect())).awaitTermination()
     assert {r["k"]: r["total"] for r in sums} == {"a": 3, "b": 1}
+
+
+def test_two_handles_lose_nothing(spark, tmp_path):
+    a, b = (Database(spark, str(tmp_path / "two")) for _ in range(2))
+    b["y"].insert({"_id": "1"})
+    a["x"].insert({"_id": "1"})
+    b["x"].insert({"_id": "2"})
+    a["x"].insert({"_id": "3", "n": 1})
+    third = Database(spark, a.path)
+    assert third.collections() == ["x", "y"]
+    assert sorted(r["_id"] for r in third["x"].find().collect()) == sorted(r["_id"] for r in b["x"].find().collect()) == ["1", "2", "3"]
+    with a.transaction():
+        a["z"].insert({"_id": "1"})
+        b["x"].insert({"_id": "4"})  # another collection, so there is no conflict
+    assert (third["z"].count(), third["x"].count()) == (1, 4)
+    a.create_view("v", "x", [{"$count": "n"}])
+    b.define_relation("r", "x", "y", "n")
+    assert [v["name"] for v in b.views()] == ["v"]
+    assert [r["name"] for r in a.relations()] == ["r"]
+    assert [r["seq"] for r in third.changes().collect()] == list(range(1, 7))
+
+
+def test_a_write_starts_again_after_another(spark, tmp_path, monkeypatch):
+    a, b = (Database(spark, str(tmp_path / "again")) for _ in range(2))
+    a["x"].insert_many([{"_id": "1", "n": 1}, {"_id": "2", "n": 1}])
+    commit, done = Database._commit, []
+
+    def late(self, *args):
+        if not done:
+            done.append(1)
+            b["x"].update({"_id": "2"}, {"$set": {"n": 10}})
+            b["x"].insert({"_id": "3", "n": 5})
+        return commit(self, *args)
+
+    monkeypatch.setattr(Database, "_commit", late)
+    assert a["x"].update_many({}, {"$inc": {"n": 1}}) == 3  # it counts what it changed in the end
+    assert {r["_id"]: r["n"] for r in b["x"].find().collect()} == {"1": 2, "2": 11, "3": 6}
+    assert sorted(v["version"] for v in a["x"].versions()) == [1, 2, 3, 4]
+
+
+def test_a_lost_writer_leaves_a_whole_database(spark, tmp_path, monkeypatch):
+    a = Database(spark, str(tmp_path / "lost"))
+    a["x"].insert({"_id": "1"})
+    publish = Database._publish
+    monkeypatch.setattr(Database, "_publish", lambda self: 1 / 0)
+    with pytest.raises(ZeroDivisionError):
+        a["x"].insert({"_id": "2"})  # committed, but its changes aren't in the log yet
+    monkeypatch.setattr(Database, "_publish", publish)
+    b = Database(spark, a.path)
+    assert b["x"].count() == 2
+    b["x"].insert({"_id": "3"})
+    assert [(r["seq"], r["key"]) for r in b.changes().collect()] == [(1, "1"), (2, "2"), (3, "3")]
+    monkeypatch.setattr(Database, "_try", lambda self, n, c: 1 / 0)
+    with pytest.raises(ZeroDivisionError):
+        a["x"].insert({"_id": "4"})
+    monkeypatch.undo()
+    assert Database(spark, a.path)["x"].count() == 3
+    assert len(b["x"].versions()) == 3
+
+
+def test_versions_are_committed_ones(spark, tmp_path):
+    db = Database(spark, str(tmp_path / "versions"))
+    db["x"].insert({"_id": "1"})
+    with pytest.raises(ZeroDivisionError), db.transaction():
+        db["x"].insert({"_id": "2"})
+        raise ZeroDivisionError
+    assert [v["version"] for v in db["x"].versions()] == [1]
+    with pytest.raises(DatabaseError):
+        db["x"].df(2)
+    with db.transaction():
+        db["x"].insert({"_id": "2"})
+        db["x"].insert({"_id": "3"})
+    assert db["x"].rollback(1) == 3
+    assert [(r["op"], r["key"]) for r in db.changes(2).collect()][:2] == [("insert", "2"), ("insert", "3")]
+    assert sorted((r["op"], r["key"]) for r in db.changes(4).collect()) == [("delete", "2"), ("delete", "3")]
+
+
+def test_writes_leave_other_files_alone(spark, tmp_path):
+    db = Database(spark, str(tmp_path / "files"))
+    x = db["x"]
+    for k in range(4):
+        x.insert_many([{"_id": f"{k}{j}", "n": j} for j in range(3)])
+    was = {p["folder"] for p in db._parts_of("x")}
+    assert x.update({"_id": "21"}, {"$set": {"n": 99}}) == 1
+    now = {p["folder"] for p in db._parts_of("x")}
+    assert len(was & now) == 3 + (len(now) == 5)  # one file was written anew
+    assert x.count() == 12
+    assert x.delete({"_id": "00"}) == 1
+    assert x.delete_many({"n": 1234}) == 0
+    db["c"].insert({"_id": "a", "x": "nobody"})
+    db.define_relation("r", "c", "x", "x", on_delete="cascade")
+    before = db["c"].versions()
+    assert x.delete({"_id": "01"}) == 1
+    assert db["c"].versions() == before  # no child refers to it, so none is written
+    assert x.compact() > 1
+    assert (len(db._parts_of("x")), x.count()) == (1, 10)
+
+
+def test_every_write_is_logged(spark, tmp_path):
+    db = Database(spark, str(tmp_path / "logged"))
+    db["p"].insert_many([{"_id": str(k), "n": k} for k in range(4)])
+    db["c"].insert_many([{"_id": "a", "p": "1"}, {"_id": "b", "p": "2"}])
+    db.define_relation("r", "c", "p", "p", on_delete="set_null")
+    db["p"].delete({"_id": "1"})
+    db["p"].aggregate([{"$match": {"n": {"$gt": 1}}}, {"$out": "o"}])
+    db["p"].aggregate([{"$addFields": {"m": 7}}, {"$merge": {"into": "o", "whenMatched": "merge", "whenNotMatched": "insert"}}])
+    rows = [(r["seq"], r["ns"], r["op"], r["key"]) for r in db.changes().collect()]
+    assert [r[0] for r in rows] == list(range(1, len(rows) + 1))
+    assert ("c", "update", "a") in {r[1:] for r in rows}
+    assert sorted(r[1:] for r in rows if r[1] == "o") == [("o", "insert", "0"), ("o", "insert", "2"), ("o", "insert", "3"), ("o", "update", "2"), ("o", "update", "3")]
+    seen = []
+    db.create_trigger("u", "after", "update", "p", seen.append)
+    db.create_trigger("d", "before", "delete", "p", seen.append)
+    db["p"].update_many({"n": {"$gte": 2}}, {"$inc": {"n": 1}})
+    db["p"].delete({"_id": "0"})
+    assert sorted(map(str, seen)) == sorted(map(str, [{"_id": "2", "n": 3}, {"_id": "3", "n": 4}, {"_id": "0", "n": 0}]))
+    assert db["p"].insert_many([{"_id": "s"}], session=("s", 3)) == Database(spark, db.path)["p"].insert_many([{"_id": "s"}], session=("s", 3))
+    assert db["p"].count({"_id": "s"}) == 1
