@@ -1,6 +1,7 @@
 """Variable-capacity best-fit packing of documents into training sequences.
 
-Texts are encoded by the pair occurrence index of `bpe`, and each document ends with an end mark. Several sequence lengths are permitted
+Texts are encoded by a byte-level vocabulary, which loses nothing of them, or by the pair occurrence index of `bpe` where the
+vocabulary is one of words; each document ends with an end mark. Several sequence lengths are permitted
 and each has a cost. Pieces go, longest first, into the open bin that they fill best; where none has room, the bin is opened whose size
 costs least for the tokens that it can be expected to hold, given what is still to come; at the end each bin is cut down to the smallest
 permitted size that holds its contents. A sequence has its token ids and its documents' boundaries.
@@ -13,24 +14,29 @@ piece goes to depends on its identifier, tokens and input partition, so a third
 
 from __future__ import annotations
 
+import base64
 from bisect import bisect_left, insort
 from collections.abc import Iterator, Sequence
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
+import tiktoken
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .bpe import chunks, encoder, vocabulary
+from . import bpe
 from .common import kind_of, map_frames, struct, texts
 
 SIZES = (512, 1024, 2048, 4096, 8192)
 #: Bytes of text of a shard; a task holds one shard's tokens at a time.
 SHARD = 16_000_000
-#: The token that ends a document.
+#: The token that ends a document, in vocabularies that name it; in others the first free number.
 END = "<|endoftext|>"
+# Fixed value: the pre-tokenizer's pattern of the byte-level vocabulary.
+PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Tokens at which attention costs as much as everything else, and what a sequence costs by itself, in tokens.
 ATTENTION, EACH = 16_384, 32
 #: Tokens of the sequences that a task hands over together.
@@ -85,17 +91,38 @@ def pack(lengths: Sequence[int], sizes: Sequence[int] = SIZES) -> tuple[np.ndarr
     return bins, offsets, np.array([next(z for z in sizes if z >= u) for u in used], np.int64)
 
 
+class Coder:
+    """Token ids of texts. path: a file of ranks (.tiktoken), or of a vocabulary of words (.json)."""
+
+    def __init__(self, path: str, end: str = END) -> None:
+        if path.endswith(".json"):
+            self.mark, self.arrays = bpe.vocabulary(path).special[end], bpe.encoder(path).arrays
+            most = max(bpe.vocabulary(path).words)
+        else:
+            with open(path, "rb") as f:
+                ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, f)}
+            coder = tiktoken.Encoding("ranks", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+            self.mark = most = max(ranks.values()) + 1
+            self.arrays = lambda many: (coder.encode_to_numpy(t, disallowed_special=()) for t in many)
+        self.wide = "<u2" if most < 1 << 16 else "<i4"
+
+
+@lru_cache(2)
+def coder(path: str, end: str = END) -> Coder:
+    """One for each Python worker."""
+    return Coder(path, end)
+
+
 def pieces(df: DataFrame, path: str, shards: int, sizes: Sequence[int] = SIZES, end: str = END) -> DataFrame:
     """shard, doc_id, piece, start, n and ids (bytes): each document's full pieces and its rest, with the end mark. df: doc_id, text."""
-    most, mark = max(sizes), vocabulary(path).special[end]
-    wide = "<u2" if max(vocabulary(path).words) < 1 << 16 else "<i4"
+    most = max(sizes)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        coder, salt = encoder(path), (TaskContext.get().partitionId() if TaskContext.get() else 0)
-        for x in chunks(batches):
+        code, salt = coder(path, end), (TaskContext.get().partitionId() if TaskContext.get() else 0)
+        for x in batches if path.endswith(".tiktoken") else bpe.chunks(batches):
             owner, piece, size, parts = [], [], [], []
-            for k, ids in enumerate(coder.arrays(x["text"].tolist())):
-                ids = np.append(ids, mark).astype(wide)
+            for k, ids in enumerate(code.arrays(x["text"].tolist())):
+                ids = np.append(ids, code.mark).astype(code.wide)
                 for at in range(0, len(ids), most):
                     part = ids[at : at + most]
                     owner.append(k)
@@ -103,8 +130,8 @@ def pieces(df: DataFrame, path: str, shards: int, sizes: Sequence[int] = SIZES,
                     size.append(len(part))
                     parts.append(part.tobytes())
             made = pd.DataFrame({"doc_id": x["doc_id"].to_numpy()[owner], "piece": piece, "n": size, "ids": parts})
-            code = pd.util.hash_array(np.array(parts, object), categorize=False) ^ pd.util.hash_array(np.array([f"{i} {j} {salt}" for i, j in zip(made["doc_id"], piece, strict=True)], object), categorize=False)
-            made["start"], made["shard"] = made["piece"] * np.int64(most), (code % np.uint64(shards)).astype(np.int64)
+            deal = pd.util.hash_array(np.array(parts, object), categorize=False) ^ pd.util.hash_array(np.array([f"{i} {j} {salt}" for i, j in zip(made["doc_id"], piece, strict=True)], object), categorize=False)
+            made["start"], made["shard"] = made["piece"] * np.int64(most), (deal % np.uint64(shards)).astype(np.int64)
             yield made
 
     return map_frames(df, run, struct(shard="long", doc_id=kind_of(df), piece="int", start="long", n="int", ids="binary"))
@@ -118,7 +145,7 @@ def pack_documents(df: DataFrame, path: str, key: str = "doc_id", text: str = "t
     total = t.agg(F.sum(F.octet_length("text") + 1)).first()[0] or 0
     shards = max(1, -(-total // shard))
     dealt = pieces(t, path, shards, sizes, end).repartition(min(shards, 100_000), "shard").sortWithinPartitions("shard", F.desc("n"), "doc_id", "piece")
-    wide = "<u2" if max(vocabulary(path).words) < 1 << 16 else "<i4"
+    wide = coder(path, end).wide
     names = ["doc_id", "piece", "start", "offset", "n_tokens"]
 
     def done(held: list[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -15,6 +15,9 @@ from .common import prepare
 #: The folder of the public tokenizers' files; their package tells it where the variable is unset.
 TOKENIZERS = os.environ.get("TOKENIZER_DIR") or next(iter((s := find_spec("public_tokenizers")) and s.submodule_search_locations or ["/opt/tokenizers"]))
 
+#: The byte-level vocabulary that sequences are packed with.
+RANKS = f"{TOKENIZERS}/byte_bpe_50k.tiktoken"
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return prepare(spark).read.parquet(f"{sf_dir}/{name}.parquet")
@@ -41,7 +44,7 @@ def op4_bpe_pair_index(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack_documents(table(spark, sf_dir, "documents"), f"{TOKENIZERS}/word_bpe_49k.json")
+    return packing.pack_documents(table(spark, sf_dir, "documents"), RANKS)
 
 
 def op6_quality_nbsvm(spark: SparkSession, sf_dir: str) -> DataFrame:
