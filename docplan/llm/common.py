@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
+import sys
 import tempfile
 import uuid
 import zipfile
@@ -20,7 +22,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 #: Bytes and rows that an operator takes at a time, whatever Arrow brings; at least one row. As Python words and arrays a text is some
 #: twenty times as large, so this bounds a worker's memory. Results don't depend on it.
-BATCH_BYTES, BATCH_ROWS = 4 << 20, 4096
+BATCH_BYTES, BATCH_ROWS = 2 << 20, 4096
 
 
 _shipped: set[str] = set()
@@ -147,12 +149,24 @@ def rows_of(rows: list[tuple], columns: list[str]) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=columns, dtype=object)
 
 
+def release() -> None:
+    """Gives the memory that a task has freed back to the system: a Python worker serves many tasks, and its allocators would keep it."""
+    pa.default_memory_pool().release_unused()
+    if sys.platform == "linux":
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc has it
+        if trim is not None:
+            trim(0)
+
+
 def map_batches(df: DataFrame, f: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: T.StructType) -> DataFrame:
     """mapInArrow over batches of bounded size. Columns travel by number, so their names may be any."""
     names = df.columns
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        yield from f(b.rename_columns(names) for b in cut(batches))
+        try:
+            yield from f(b.rename_columns(names) for b in cut(batches))
+        finally:
+            release()
 
     ship(df.sparkSession)
     return df.toDF(*(f"c{k}" for k in range(len(names)))).mapInArrow(run, schema)

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from .common import fold, map_frames, struct, texts
 
 #: Bytes of words that a Python worker keeps what it knows of; a bound on memory, without effect on results.
-WORDS_KEPT = 32 << 20
+WORDS_KEPT = 24 << 20
 
 
 def sample(documents: DataFrame, labels: DataFrame, label: str, modulus: int, held_out: int, rows: int) -> DataFrame:
