@@ -6,8 +6,8 @@ import pytest
 from compare import assert_same
 from test_text_operators import brute_links, brute_repeats, sets_of
 
-from docplan.llm import bpe
-from docplan.llm.queries import ORACLE, QUERIES, TOKENIZERS
+from docplan.llm import packing
+from docplan.llm.queries import ORACLE, QUERIES, RANKS
 
 
 @pytest.mark.parametrize("name", sorted(QUERIES))
@@ -39,7 +39,7 @@ def test_pipeline(spark, data):
     was = dict(rows[2])
     assert all(t == (cut[d][1] if cut[d][0] else was[d]) for d, t in rows[3])
     assert len(rows[3]) == len(rows[4]) == len(rows[2])
-    coder = bpe.Encoder(f"{TOKENIZERS}/word_bpe_49k.json")
+    coder = packing.coder(RANKS)
     tokens = {d: len(ids) + 1 for (d, _), ids in zip(rows[4], coder.arrays([t for _, t in rows[4]]), strict=True)}
     packed = {}
     for r in steps[5].collect():

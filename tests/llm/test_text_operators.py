@@ -246,12 +246,13 @@ def test_each_placement_is_the_best_fit(seed):
 
 
 def test_pack_tables(spark):
-    from docplan.llm.queries import TOKENIZERS
+    from docplan.llm.queries import RANKS, TOKENIZERS
 
-    path = f"{TOKENIZERS}/word_bpe_49k.json"
-    coder = bpe.Encoder(path)
-    mark = bpe.vocabulary(path).special[packing.END]
-    for sizes, shard in (((16, 64, 256), 300), ((8192,), 10**9)):
+    words = f"{TOKENIZERS}/word_bpe_49k.json"
+    for path, sizes, shard in ((RANKS, (16, 64, 256), 300), (RANKS, (8192,), 10**9), (words, (16, 64, 256), 300)):
+        coder = bpe.Encoder(words) if path == words else packing.coder(path)
+        mark = packing.coder(path).mark
+        assert mark == (bpe.vocabulary(words).special[packing.END] if path == words else 50256)
         got = packing.pack_documents(hard(spark), path, sizes=sizes, shard=shard).collect()
         assert len({r["sequence_id"] for r in got}) == len(got)
         parts = {}
@@ -270,7 +271,7 @@ def test_pack_tables(spark):
             for k in range(0, len(ids), max(sizes)):
                 want.setdefault((r[0], k // max(sizes), k), []).append(ids[k : k + max(sizes)])
         assert {k: sorted(v) for k, v in parts.items()} == {k: sorted(v) for k, v in want.items()}
-    assert packing.pack_documents(empty(spark), path).count() == 0
+    assert packing.pack_documents(empty(spark), words).count() == 0
 
 
 # ---- personal data
@@ -330,3 +331,15 @@ def test_pii_tables(spark):
     assert cut[6] is None
     assert pii.find(empty(spark), pii.train(empty(spark))).count() == 0
     assert pii.redact(empty(spark), field).count() == 0
+
+
+def test_byte_ids_lose_nothing():
+    import base64
+
+    from docplan.llm.queries import RANKS
+
+    with open(RANKS, "rb") as f:
+        token = {int(n): base64.b64decode(t) for t, n in map(bytes.split, f)}
+    for r in hard_documents():
+        ids = next(packing.coder(RANKS).arrays([r[1] or ""])).tolist()
+        assert b"".join(token[i] for i in ids).decode() == (r[1] or "")
