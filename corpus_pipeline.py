@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from docplan.llm import jaccard_join, packing, pii, superkmer, toxicity
 from docplan.llm.common import prepare, stored
-from docplan.llm.queries import TOKENIZERS
+from docplan.llm.queries import RANKS
 
 #: The identifier of a text within its document's: rows that repeat an identifier may hold different texts.
 DIGEST = "__docplan_digest"
@@ -59,7 +59,7 @@ def cover_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Training sequences: token ids and the boundaries of their documents."""
     prepare(spark)
-    return packing.pack_documents(docs, f"{TOKENIZERS}/word_bpe_49k.json")
+    return packing.pack_documents(docs, RANKS)
 
 
 STAGES = [
