@@ -86,6 +86,28 @@ def least_overlap(n: np.ndarray | int, percent: int) -> np.ndarray | int:
     return -(-percent * n // 100)
 
 
+def width(buckets: int) -> int:
+    """Bytes of a code that its bucket doesn't tell: the bucket is the remainder, the quotient travels."""
+    return (64 - (buckets.bit_length() - 1) + 7) // 8
+
+
+def packed(codes: np.ndarray, buckets: int) -> np.ndarray:
+    """The quotients of codes, a row of bytes each."""
+    return np.ascontiguousarray((codes // np.uint64(buckets)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, : width(buckets)])
+
+
+def unpacked(data: bytes, bucket: int | np.ndarray, buckets: int) -> np.ndarray:
+    """The codes of packed quotients of a bucket, or of one bucket each."""
+    out = np.zeros((len(data) // width(buckets), 8), np.uint8)
+    out[:, : width(buckets)] = np.frombuffer(data, np.uint8).reshape(len(out), width(buckets))
+    return out.reshape(-1).view("<u8").astype(np.uint64) * np.uint64(buckets) + np.asarray(bucket).astype(np.uint64)
+
+
+def level(count: np.ndarray) -> np.ndarray:
+    """A frequency as a byte, eight to a doubling: an order by it needs no more."""
+    return np.minimum(255, 8 * np.log2(np.maximum(count, 1))).astype(np.uint8)
+
+
 def by_run(batches: Iterable[pd.DataFrame], keys: list[str]) -> Iterator[pd.DataFrame]:
     """Sorted rows again, but no run of equal keys is cut: each frame holds one or more whole runs."""
     rest: list[pd.DataFrame] = []
@@ -140,7 +162,7 @@ def _scatter(t: DataFrame, n: int, buckets: int) -> DataFrame:
             codes, owner, known = codes[new], owner[new], known[new]
             bucket = (codes % np.uint64(buckets)).astype(np.int64)
             order = np.lexsort((owner, bucket))
-            codes, owner, known, bucket = codes[order].astype("<u8"), owner[order].astype("<u2"), known[order], bucket[order]
+            codes, owner, known, bucket = packed(codes[order], buckets), owner[order].astype("<u2"), known[order], bucket[order]
             cuts = np.searchsorted(bucket, np.arange(buckets + 1)).tolist()
             for b, (lo, hi) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)):
                 if hi > lo:
@@ -150,9 +172,9 @@ def _scatter(t: DataFrame, n: int, buckets: int) -> DataFrame:
     return map_frames(t, run, struct(kind="int", bucket="int", batch="long", doc_id=kind_of(t), set="binary", n="int", a="binary", b="binary", c="binary"))
 
 
-def _buckets(dealt: DataFrame) -> DataFrame:
-    """BUCKET rows come back with only the shingles that another set has as well (a: codes, b: sets) and how often each occurs, a set
-    twice where its batch has it again (c); the other rows as they are."""
+def _buckets(dealt: DataFrame, buckets: int) -> DataFrame:
+    """BUCKET rows come back with only the shingles that another set has as well (a: codes, b: sets) and about how often each occurs
+    (c), a set twice where its batch has it again; the other rows as they are."""
 
     def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for x in by_run(batches, ["bucket"]):
@@ -160,7 +182,8 @@ def _buckets(dealt: DataFrame) -> DataFrame:
             if len(plain):
                 yield plain[_columns]
             for b, part in x[x["kind"] == BUCKET].groupby("bucket"):
-                every = np.frombuffer(b"".join(part["a"]), "<u8")
+                quotients = np.frombuffer(b"".join(part["a"]), np.uint8).reshape(int(size.sum()), width(buckets))
+                every = unpacked(quotients.tobytes(), b, buckets)
                 size = part["n"].to_numpy(int)
                 known = np.concatenate([np.unpackbits(np.frombuffer(c, np.uint8), count=k) for c, k in zip(part["c"], size.tolist(), strict=True)])
                 _, place, count = np.unique(every, return_inverse=True, return_counts=True)
@@ -170,7 +193,7 @@ def _buckets(dealt: DataFrame) -> DataFrame:
                     often = count[at : at + k]
                     mine = often > 1
                     if mine.any():
-                        rows.append((BUCKET, b, batch, None, None, int(mine.sum()), every[at : at + k][mine].tobytes(), np.frombuffer(owners, "<u2")[mine].tobytes(), np.minimum(often[mine], 2**32 - 1).astype("<u4").tobytes()))
+                        rows.append((BUCKET, b, batch, None, None, int(mine.sum()), quotients[at : at + k][mine].tobytes(), np.frombuffer(owners, "<u2")[mine].tobytes(), level(often[mine]).tobytes()))
                     at += k
                 if rows:
                     yield rows_of(rows, _columns)
@@ -178,7 +201,7 @@ def _buckets(dealt: DataFrame) -> DataFrame:
     return map_frames(dealt.sortWithinPartitions("bucket"), run, dealt.schema)
 
 
-def _gather(told: DataFrame, percent: int) -> DataFrame:
+def _gather(told: DataFrame, percent: int, buckets: int) -> DataFrame:
     """(set, n, codes): the sets of each batch with enough shared shingles to link with any other, rare shingles first."""
 
     def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -190,7 +213,7 @@ def _gather(told: DataFrame, percent: int) -> DataFrame:
                 rest = np.frombuffer(head["c"], np.uint8)
                 k = len(rest) // 10
                 answers = part[part["kind"] == BUCKET]
-                heard, often = np.frombuffer(b"".join(answers["a"]), "<u8"), np.frombuffer(b"".join(answers["c"]), "<u4")
+                heard, often = unpacked(b"".join(answers["a"]), np.repeat(answers["bucket"].to_numpy(np.int64), answers["n"].to_numpy(np.int64)), buckets), np.frombuffer(b"".join(answers["c"]), np.uint8)
                 order = np.argsort(heard, kind="stable")
                 heard, often, first = heard[order], often[order], np.frombuffer(b"".join(answers["b"]), "<u2")[order]
                 owner = np.concatenate([rest[: 2 * k].view("<u2"), first]).astype(np.int64)
@@ -398,10 +421,11 @@ def link(df: DataFrame, key: str = "doc_id", text: str = "text", n: int = N, per
     and how many other documents it links with. No link is found in more than one task."""
     t = texts(df, key, text)
     parts = partitions(df)
-    told = stored(_buckets(_scatter(t, n, BUCKETS * parts).repartition(parts, "bucket")), "shingles")
+    buckets = BUCKETS * parts  # several for each partition, for hashing deals them out unevenly
+    told = stored(_buckets(_scatter(t, n, buckets).repartition(parts, "bucket"), buckets), "shingles")
     docs = told.where(F.col("kind") == DOC).select("doc_id", "set", "n")
     sets = stored(docs.where("n > 0").groupBy("set").agg(F.min("doc_id").alias("least"), F.count("*").alias("c")), "sets")
-    some = _gather(told.where(F.col("kind") != DOC), percent).groupBy("set").agg(F.first("n").alias("n"), F.first("codes").alias("codes"))
+    some = _gather(told.where(F.col("kind") != DOC), percent, buckets).groupBy("set").agg(F.first("n").alias("n"), F.first("codes").alias("codes"))
     some = stored(some.join(sets.select("set", "c"), "set"), "some")
     homes = stored(_blocks(some, percent, block), "homes")
     forget(some)
