@@ -55,6 +55,24 @@ def listed(scope: Scope, value: Column, order: Order) -> Column:
     return F.array_sort(pairs, compare).getField("v")
 
 
+#: Accumulators of the first n of an order, which needn't gather a group.
+BOUNDED = ("$minN", "$maxN", "$firstN", "$lastN", "$top", "$bottom", "$topN", "$bottomN", "$first", "$last")
+
+
+def bounded(scope: Scope, name: str, arg: Any, order: Order) -> tuple[Column, Order, int] | None:
+    """The value, the order to take the first n of (none: of the values themselves), and n; None where there is no order to take them
+    by, or a plain aggregate does it."""
+    if name in ("$minN", "$maxN"):
+        return expression(scope, arg["input"]), [], arg["n"]
+    if name in ("$top", "$bottom", "$topN", "$bottomN"):
+        own = list(arg["sortBy"].items())
+        return expression(scope, arg["output"]), own if name.startswith("$top") else [(p, -d) for p, d in own], arg["n"] if name.endswith("N") else 1
+    if not order or name in ("$first", "$last") and len({d for _, d in order}) == 1:
+        return None
+    back = order if name in ("$first", "$firstN") else [(p, -d) for p, d in order]
+    return expression(scope, arg["input"] if name.endswith("N") else arg), list(back), arg["n"] if name.endswith("N") else 1
+
+
 def accumulate(scope: Scope, name: str, arg: Any, order: Order = (), strict_avg: bool = False) -> Column:
     order = list(order)
     if name == "$sum":

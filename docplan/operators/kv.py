@@ -5,8 +5,12 @@ del, expire (value: seconds from ts). An incr of what isn't there starts from 0.
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.times import micros
 from .stores import glob
@@ -33,17 +37,44 @@ def replay(log: DataFrame, by: list[str], now: Column | None = None) -> DataFram
 
 def token_bucket(events: DataFrame, by: str, time: str, tiebreak: str, rate: float, burst: float) -> DataFrame:
     """(by, tiebreak, allowed): each event takes a token of its key's bucket, which fills by `rate` a second up to `burst`. A bucket's
-    level depends on all that came before, so each key's events are folded in order."""
-    each = F.array_sort(F.collect_list(F.struct((micros(time) / 1e6).alias("t"), F.col(tiebreak).alias("id"))))
-    start = F.struct(F.lit(float(burst)).alias("level"), F.lit(None).cast("double").alias("t"), F.array().cast("array<boolean>").alias("out"))
-
-    def take(s: Column, e: Column) -> Column:
-        level = F.least(F.lit(float(burst)), s["level"] + F.coalesce(e["t"] - s["t"], F.lit(0.0)) * rate)
-        ok = level >= 1
-        return F.struct(F.when(ok, level - 1).otherwise(level).alias("level"), e["t"].alias("t"), F.concat(s["out"], F.array(ok)).alias("out"))
-
-    folded = events.groupBy(by).agg(each.alias("e")).select(by, F.col("e.id").alias("id"), F.aggregate("e", start, take)["out"].alias("ok"))
-    return folded.select(by, F.explode(F.arrays_zip("id", "ok")).alias("z")).select(by, F.col("z.id").alias(tiebreak), F.col("z.ok").alias("allowed"))
+    level depends on all that came before, which no window expresses: keys are dealt out and sorted, and a task folds its rows as they
+    stream by, holding one level, however long a key's history is. Events without a time come first and fill nothing."""
+    rows = events.select(F.col(by).alias("by"), (micros(time) / 1e6).alias("at"), F.col(tiebreak).alias("id"))
+    dealt = rows.repartition("by").sortWithinPartitions("by", F.asc_nulls_first("at"), "id")
+    out = T.StructType([T.StructField("by", rows.schema["by"].dataType), T.StructField("id", rows.schema["id"].dataType), T.StructField("allowed", T.BooleanType())])
+
+    def fold(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, level, last = object(), 0.0, None
+        for b in batches:
+            allowed = []
+            for k, at in zip(b.column("by").to_pylist(), b.column("at").to_pylist(), strict=True):
+                if k != key:
+                    key, level, last = k, float(burst), None
+                if at is not None and last is not None:
+                    level = min(float(burst), level + (at - last) * rate)
+                last = at if at is not None else last
+                allowed.append(level >= 1)
+                level -= allowed[-1]
+            yield pa.RecordBatch.from_arrays([b.column("by"), b.column("id"), pa.array(allowed)], names=["by", "id", "allowed"])
+
+    return dealt.mapInArrow(fold, out).select(F.col("by").alias(by), F.col("id").alias(tiebreak), "allowed")
+
+
+def lists(log: DataFrame) -> DataFrame:
+    """(key, values): what lists hold after pushes. log: seq, key, op (lpush, rpush, del) and value; a push on the left goes before all
+    that is there."""
+    w = Window.partitionBy("key")
+    alive = log.withColumn("__del", F.max(F.when(F.col("op") == "del", F.col("seq"))).over(w)).where((F.col("op") != "del") & (F.col("__del").isNull() | (F.col("seq") > F.col("__del"))))
+    place = F.when(F.col("op") == "lpush", -F.col("seq")).otherwise(F.col("seq"))
+    return alive.groupBy("key").agg(F.transform(F.array_sort(F.collect_list(F.struct(place.alias("p"), F.col("value").alias("v")))), lambda x: x["v"]).alias("values"))
+
+
+def list_range(stored: DataFrame, start: int, stop: int) -> DataFrame:
+    """The values from start to stop, both included; negative places count from the end."""
+    n = F.size("values")
+    a = F.greatest(F.lit(0), F.lit(start) if start >= 0 else n + start)
+    b = F.least(n - 1, F.lit(stop) if stop >= 0 else n + stop)
+    return stored.withColumn("values", F.when(b >= a, F.slice("values", a + 1, F.greatest(F.lit(0), b - a + 1))).otherwise(F.slice("values", 1, 0)))
 
 
 def published(messages: DataFrame, channels: list[str]) -> DataFrame:
@@ -54,15 +85,22 @@ def published(messages: DataFrame, channels: list[str]) -> DataFrame:
 
 def with_ids(df: DataFrame, kind: str = "uuid", name: str = "_id", start: int = 1, node: int = 0) -> DataFrame:
     """Identifiers: uuid; snowflake (41 bits of milliseconds, 10 of the node, 12 of a count); increment (unique and rising, with gaps
-    between partitions, so that no task numbers all rows)."""
+    between partitions, so that no task numbers all rows).
+
+    A snowflake's node is five bits of the writer (`node`, 0 to 31) and five of the partition; partitions beyond 32, and rows beyond
+    4,096 of a millisecond, go to later milliseconds, each 32 partitions to a span of 2 ** 21 of them, as many as a partition can fill.
+    So identifiers of one run are unique however many there are; runs at the same time need nodes of their own."""
     if kind == "uuid":
         return df.withColumn(name, F.uuid())
     if kind == "increment":
         return df.withColumn(name, F.monotonically_increasing_id() + F.lit(start))
     if kind == "snowflake":
+        if not 0 <= node < 32:
+            raise ValueError("node is 0 to 31")
         n = F.monotonically_increasing_id()
-        ms = F.unix_millis(F.current_timestamp()) - 1_577_836_800_000 + F.shiftright(n, 33) * 1000 + F.shiftright(n.bitwiseAND((1 << 33) - 1), 12)
-        return df.withColumn(name, F.shiftleft(ms, 22) + F.lit(node << 12) + n.bitwiseAND(4095))
+        row, part = n.bitwiseAND((1 << 33) - 1), F.shiftright(n, 33)
+        ms = F.unix_millis(F.current_timestamp()) - 1_577_836_800_000 + F.shiftright(part, 5) * (1 << 21) + F.shiftright(row, 12)
+        return df.withColumn(name, F.shiftleft(ms, 22) + F.lit(node << 17) + F.shiftleft(part.bitwiseAND(31), 12) + row.bitwiseAND(4095))
     raise ValueError(f"unknown kind {kind}")
 
 

@@ -4,15 +4,16 @@ A pipeline keeps the order of its last $sort, which $first, $last, $push and the
 
 from __future__ import annotations
 
+import tempfile
 from collections.abc import Callable
 from functools import reduce
 from typing import Any
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.accumulators import Order, accumulate
+from ..functions.accumulators import BOUNDED, Order, accumulate, bounded
 from ..functions.expressions import expression
 from ..functions.filters import compile_filter
 from ..functions.paths import family, of
@@ -226,13 +227,60 @@ def group(s: State, spec: dict) -> DataFrame:
     if "_id" not in spec:
         raise PipelineError("$group needs _id")
     key = _group_key(s, spec["_id"])
-    aggs = _accumulators(s, {k: v for k, v in spec.items() if k != "_id"})
+    calls = {k: v for k, v in spec.items() if k not in ("_id", ROLL)}
+    first = {k: v for k, v in calls.items() if isinstance(v, dict) and len(v) == 1 and next(iter(v)) in BOUNDED}
+    if first and ROLL not in spec:
+        return _group_first(s, key, calls, first)
+    aggs = _accumulators(s, calls)
     s.order = []
+    if ROLL in spec:
+        return _group_rolled(s, spec, aggs)
     if key is None:
         return s.df.agg(F.count(F.lit(1)).alias("__n"), *aggs).where("__n > 0").withColumn("__n", F.lit(None).cast("string")).withColumnRenamed("__n", "_id")
     return s.df.groupBy(key.alias("_id")).agg(*aggs) if aggs else s.df.select(key.alias("_id")).distinct()
 
 
+#: In $group: "rollup" or "cube" over the fields of a compound `_id`; totals have null there.
+ROLL = "$grouping"
+
+
+def _group_rolled(s: State, spec: dict, aggs: list[Column]) -> DataFrame:
+    if not isinstance(spec["_id"], dict) or spec[ROLL] not in ("rollup", "cube"):
+        raise PipelineError("$grouping is rollup or cube, over the fields of _id")
+    keys = {k: expression(of(s.df), e) for k, e in spec["_id"].items()}
+    grouped = getattr(s.df, spec[ROLL])(*[c.alias(k) for k, c in keys.items()])
+    out = grouped.agg(*(aggs or [F.count(F.lit(1)).alias("__n")]))
+    return out.select(F.struct(*[F.col(f"`{k}`") for k in keys]).alias("_id"), *[F.col(f"`{c}`") for c in out.columns[len(keys) :] if c != "__n"])
+
+
+def _group_first(s: State, key: Column | None, calls: dict, first: dict) -> DataFrame:
+    """Groups whose accumulators take the first n of an order. The rows of a group are numbered by sorts, which spill: those of each
+    part of it first, and then the first n of all parts, so neither a task's memory nor an array holds a large group."""
+    df, scope = s.df, of(s.df)
+    df = df.withColumn("__key", F.lit(0) if key is None else key).withColumn("__salt", F.spark_partition_id() % 64)
+    aggs = []
+    for name, call in calls.items():
+        (op, arg), *_ = call.items()
+        found = bounded(scope, op, arg, s.order) if name in first else None
+        if found is None:
+            aggs.append(accumulate(scope, op, arg, s.order, s.options.get("strict_avg", False)).alias(name))
+            continue
+        value, order, n = found
+        order, at = windows.order_by(scope, order) if order else [value.asc() if op == "$minN" else value.desc()], f"__at{len(aggs)}"
+        there = value.isNotNull() if op in ("$minN", "$maxN") else F.lit(True)
+        df = df.withColumn(at, F.row_number().over(Window.partitionBy("__key", "__salt", there).orderBy(*order)))
+        df = df.withColumn(at, F.when((F.col(at) <= n) & there, -1).otherwise(F.col("__salt")))
+        df = df.withColumn(at, F.when(F.col(at) < 0, F.row_number().over(Window.partitionBy("__key", at).orderBy(*order))))
+        some = F.array_sort(F.collect_list(F.when(F.col(at) <= n, F.struct(F.col(at).alias("at"), value.alias("value")))))
+        values = F.transform(some, lambda x: x["value"])
+        values = F.reverse(values) if op == "$lastN" else values
+        aggs.append((values if op.endswith("N") else F.get(values, F.lit(0))).alias(name))
+    s.order = []
+    if key is None:
+        return df.agg(F.count(F.lit(1)).alias("__n"), *aggs).where("__n > 0").withColumn("__n", F.lit(None).cast("string")).withColumnRenamed("__n", "_id")
+    return df.groupBy(F.col("__key").alias("_id")).agg(*aggs)
+
+
 @stage("$sortByCount")
 def sort_by_count(s: State, e: Any) -> DataFrame:
     df = s.df.groupBy(expression(of(s.df), e).alias("_id")).agg(F.count(F.lit(1)).alias("count"))
@@ -308,11 +356,27 @@ def lookup(s: State, spec: dict) -> DataFrame:
     rows = F.struct(*[F.col(f"`{c}`") for c in other.columns])
     flat = not any(isinstance(f.dataType, T.MapType | T.VariantType) for f in other.schema)
     many = F.collect_list(rows)
+    # only rows that some row here asks for are gathered
+    keys = s.df.select(here.column.alias("__asked")).where("__asked IS NOT NULL").distinct()
+    other = other.join(keys, there.column == F.col("__asked"), "left_semi")
     nested = other.groupBy(there.column.alias("__key")).agg((F.sort_array(many) if flat else many).alias("__rows"))
     out = s.df.join(nested, here.column == nested["__key"], "left").drop("__key")
     return set_path(out, name, F.coalesce(F.col("__rows"), F.array().cast(nested.schema["__rows"].dataType))).drop("__rows")
 
 
+def reliable(df: DataFrame) -> DataFrame:
+    """df without its lineage, in the session's checkpoint folder."""
+    sc = df.sparkSession.sparkContext
+    if not sc.getCheckpointDir():
+        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not folder:
+            if sc.master.split("[")[0] != "local":
+                raise PipelineError("spark.checkpoint.dir must name a folder that driver and executors share")
+            folder = tempfile.mkdtemp(prefix="docplan-")
+        sc.setCheckpointDir(folder)
+    return df.checkpoint()
+
+
 @stage("$graphLookup")
 def graph_lookup(s: State, spec: dict) -> DataFrame:
     """{from, startWith, connectFromField, connectToField, as, maxDepth}: what each row reaches, in an array of {node, depth}, by joins
@@ -327,7 +391,7 @@ def graph_lookup(s: State, spec: dict) -> DataFrame:
         step = step.join(edges.select("node").distinct(), "node", "left_semi").join(seen, ["start", "node"], "left_anti")
         edge = step.select("start", "node", F.lit(depth).alias("depth"))
         if most is None:
-            edge = edge.checkpoint() if edge.sparkSession.sparkContext.getCheckpointDir() else edge.persist()
+            edge = reliable(edge)
             if not edge.take(1):
                 break
         seen = seen.union(edge)

@@ -13,6 +13,8 @@ class IntegrityError(ValueError):
 def populate(df: DataFrame, other: DataFrame, local: str, foreign: str, name: str, one: bool = False) -> DataFrame:
     """df with the matching rows nested; with `one` the smallest match, or null."""
     rows = F.struct(*[F.col(f"`{c}`") for c in other.columns])
+    keys = df.select(F.col(local).alias("__asked")).where("__asked IS NOT NULL").distinct()
+    other = other.join(keys, F.col(foreign) == F.col("__asked"), "left_semi")  # only rows that some row asks for are gathered
     many = other.groupBy(F.col(foreign).alias("__key")).agg((F.min(rows) if one else F.sort_array(F.collect_list(rows))).alias(name))
     out = df.join(many, df[local] == many["__key"], "left").drop("__key")
     return out if one else out.withColumn(name, F.coalesce(F.col(name), F.array().cast(many.schema[name].dataType)))

@@ -468,12 +468,14 @@ def _(s: SparkSession, d: str) -> DataFrame:
 
 @query("rollup", "SELECT l_returnflag, l_linestatus, count(*) AS n FROM lineitem GROUP BY ROLLUP (l_returnflag, l_linestatus)")
 def _(s: SparkSession, d: str) -> DataFrame:
-    return table(s, d, "lineitem").rollup("l_returnflag", "l_linestatus").agg(F.count("*").alias("n"))
+    rows = pipeline(s, d, "lineitem", [{"$group": {"_id": {"l_returnflag": "$l_returnflag", "l_linestatus": "$l_linestatus"}, "$grouping": "rollup", "n": {"$count": {}}}}])
+    return rows.select("_id.*", "n")
 
 
 @query("cube", "SELECT o_orderstatus, o_orderpriority, count(*) AS n FROM orders GROUP BY CUBE (o_orderstatus, o_orderpriority)")
 def _(s: SparkSession, d: str) -> DataFrame:
-    return table(s, d, "orders").cube("o_orderstatus", "o_orderpriority").agg(F.count("*").alias("n"))
+    rows = pipeline(s, d, "orders", [{"$group": {"_id": {"o_orderstatus": "$o_orderstatus", "o_orderpriority": "$o_orderpriority"}, "$grouping": "cube", "n": {"$count": {}}}}])
+    return rows.select("_id.*", "n")
 
 
 @query("aggregate_catalog", "SELECT o_orderstatus AS \"_id\", bool_or(o_totalprice > 300000) AS any_big, bit_or(o_orderkey) AS bits, median(o_totalprice) AS mid, count(DISTINCT o_custkey) AS customers FROM orders GROUP BY 1")
@@ -737,7 +739,10 @@ def _(s: SparkSession, d: str) -> DataFrame:
     return kv.replay(log, ["key"])
 
 
-@query("token_bucket")
+@query("token_bucket", """WITH RECURSIVE e AS (SELECT user_id, event_id, epoch_us(ts) / 1e6 AS at, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM events),
+b AS (SELECT user_id, event_id, at, k, CAST(2 AS DOUBLE) AS had FROM e WHERE k = 1
+UNION ALL SELECT e.user_id, e.event_id, e.at, e.k, least(CAST(2 AS DOUBLE), (CASE WHEN b.had >= 1 THEN b.had - 1 ELSE b.had END) + (e.at - b.at) * (CAST(1 AS DOUBLE) / 86400)) FROM b JOIN e ON e.user_id = b.user_id AND e.k = b.k + 1)
+SELECT user_id, event_id, had >= 1 AS allowed FROM b""")
 def _(s: SparkSession, d: str) -> DataFrame:
     return kv.token_bucket(table(s, d, "events"), "user_id", "ts", "event_id", 1 / 86_400, 2)
 
@@ -763,6 +768,53 @@ def _(s: SparkSession, d: str) -> DataFrame:
     return stores.visible(table(s, d, "customer"), {"c_custkey", "c_name", "c_secret"})
 
 
+@query("kv_lists", "SELECT user_id AS key, list(event_id ORDER BY CASE WHEN event_type IN ('click', 'view') THEN -event_id ELSE event_id END)[1:4] AS values FROM events WHERE event_type <> 'error' AND event_id > coalesce((SELECT max(event_id) FROM events x WHERE x.user_id = events.user_id AND x.event_type = 'error'), -1) GROUP BY 1")
+def _(s: SparkSession, d: str) -> DataFrame:
+    op = F.when(F.col("event_type") == "error", "del").when(F.col("event_type").isin("click", "view"), "lpush").otherwise("rpush")
+    log = table(s, d, "events").select(F.col("event_id").alias("seq"), F.col("user_id").alias("key"), op.alias("op"), F.col("event_id").alias("value"))
+    return kv.list_range(kv.lists(log), 0, 3)
+
+
+@query("search_near", "SELECT doc_id FROM (SELECT doc_id, list_filter(regexp_split_to_array(lower(text), '[^\\p{L}\\p{N}]+'), lambda x: strlen(x) >= 2) AS w FROM documents) WHERE len(list_filter(range(1, len(w) + 1), lambda i: w[i] IN ('the', 'on') AND list_contains(w[i:i + 3], 'the') AND list_contains(w[i:i + 3], 'on'))) > 0")
+def _(s: SparkSession, d: str) -> DataFrame:
+    return search.near(table(s, d, "documents"), ["the", "on"], 4).select("doc_id")
+
+
+@query("search_wildcard", "SELECT doc_id FROM (SELECT doc_id, list_filter(regexp_split_to_array(lower(text), '[^\\p{L}\\p{N}]+'), lambda x: strlen(x) >= 2) AS w FROM documents) WHERE len(list_filter(w, lambda x: regexp_full_match(x, 'th.e.*[ns]'))) > 0")
+def _(s: SparkSession, d: str) -> DataFrame:
+    return search.wildcard(table(s, d, "documents"), "th?e*[ns]").select("doc_id")
+
+
+@query("search_facets", "SELECT field, value, n FROM (SELECT field, value, count(*) AS n, row_number() OVER (PARTITION BY field ORDER BY count(*) DESC, value) AS r FROM (SELECT 'lang' AS field, lang AS value FROM documents UNION ALL SELECT 'source', source FROM documents) WHERE value IS NOT NULL GROUP BY 1, 2) WHERE r <= 3")
+def _(s: SparkSession, d: str) -> DataFrame:
+    return search.facets(table(s, d, "documents"), ["lang", "source"], 3)
+
+
+@query("search_fuzzy", "SELECT doc_id FROM (SELECT doc_id, list_filter(regexp_split_to_array(lower(text), '[^\\p{L}\\p{N}]+'), lambda x: strlen(x) >= 2) AS w FROM documents) WHERE len(list_filter(w, lambda x: levenshtein(x, 'thing') <= 1)) > 0")
+def _(s: SparkSession, d: str) -> DataFrame:
+    return search.fuzzy(table(s, d, "documents"), "Thing", 1).select("doc_id")
+
+
+@query("search_suggest", "SELECT term, n, distance FROM (SELECT w AS term, count(*) AS n, levenshtein(w, 'thesn') AS distance FROM (SELECT unnest(regexp_split_to_array(lower(text), '[^\\p{L}\\p{N}]+')) AS w FROM documents) WHERE strlen(w) >= 2 GROUP BY 1) WHERE distance <= 2 ORDER BY distance, n DESC, term LIMIT 5")
+def _(s: SparkSession, d: str) -> DataFrame:
+    return search.suggest(table(s, d, "documents"), "thesn").withColumn("distance", F.col("distance").cast("long"))
+
+
+@query("window_sliding", """SELECT epoch_us(w) AS start, event_type, count(*) AS n FROM (SELECT event_type, unnest([time_bucket(INTERVAL 30 MINUTE, ts) - INTERVAL 30 MINUTE, time_bucket(INTERVAL 30 MINUTE, ts)]) AS w FROM events) GROUP BY 1, 2""")
+def _(s: SparkSession, d: str) -> DataFrame:
+    w = changes.sliding(table(s, d, "events"), "ts", "1 hour", "30 minutes", ["event_type"], [F.count("*").alias("n")])
+    return w.select(micros("window.start").alias("start"), "event_type", "n")
+
+
+@query("group_first_n", """SELECT o_orderstatus AS _id, (list(o_totalprice ORDER BY o_totalprice)[1:3]) AS lo, (list(o_totalprice ORDER BY o_totalprice DESC)[1:2]) AS hi, (list(o_orderkey ORDER BY o_custkey DESC, o_orderkey)[1:3]) AS top,
+max(o_orderkey) FILTER (o_custkey = m) AS low FROM (SELECT *, min(o_custkey) OVER (PARTITION BY o_orderstatus) AS m FROM orders) GROUP BY 1""")
+def _(s: SparkSession, d: str) -> DataFrame:
+    return pipeline(s, d, "orders", [{"$group": {
+        "_id": "$o_orderstatus", "lo": {"$minN": {"n": 3, "input": "$o_totalprice"}}, "hi": {"$maxN": {"n": 2, "input": "$o_totalprice"}},
+        "top": {"$topN": {"n": 3, "sortBy": {"o_custkey": -1, "o_orderkey": 1}, "output": "$o_orderkey"}}, "low": {"$bottom": {"sortBy": {"o_custkey": -1, "o_orderkey": 1}, "output": "$o_orderkey"}},
+    }}])
+
+
 @query("zone_map", "SELECT count(*) AS rows, min(o_orderkey) AS lo, max(o_orderkey) AS hi FROM orders")
 def _(s: SparkSession, d: str) -> DataFrame:
     zones = kv.may_match(kv.zone_map(table(s, d, "orders"), ["o_orderkey"]), "o_orderkey", lo=10)
