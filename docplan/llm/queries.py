@@ -82,6 +82,15 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 #: DuckDB SQL for those that SQL can express.
 ORACLE: dict[str, str] = {
+    "op7_set_relation_join": r"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, md5(array_to_string(w[i : i + 3], ' ')) AS g FROM w, unnest(generate_series(1, greatest(len(w) - 3, least(len(w), 1)))) AS t(i)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k FROM s a JOIN s b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+l AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * k >= 85 * (x.n + y.n - k)),
+c AS (SELECT doc_id, doc_id AS r FROM documents UNION SELECT l.b, c.r FROM c JOIN l ON l.a = c.doc_id),
+m AS (SELECT doc_id, min(r) AS component_id FROM c GROUP BY 1), k AS (SELECT a AS doc_id, count(*) AS links FROM l GROUP BY 1)
+SELECT doc_id, coalesce(n, 0) AS n_shingles, component_id, coalesce(links, 0) AS n_links FROM m LEFT JOIN n USING (doc_id) LEFT JOIN k USING (doc_id)""",
     "op8_super_kmer": r"""
 WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
 s AS (SELECT doc_id, i, array_to_string(w[i : i + 34], ' ') AS k FROM w, unnest(generate_series(1, len(w) - 34)) AS t(i)),
