@@ -201,12 +201,12 @@ def test_pack_best_fit():
 def brute_pack(lengths, sizes):
     """Best fit by looking at every bin, and at every size by trying what would still go in."""
     order = sorted(range(len(lengths)), key=lambda i: -lengths[i])
-    bins, where = [], {}  # bins: [capacity, used]
+    bins, where = [], {}  # bins: [capacity, used, step that filled it last]
     for k, i in enumerate(order):
         n = lengths[i]
-        rooms = [c - u for c, u in bins if c - u >= n]
+        rooms = [c - u for c, u, _ in bins if c - u >= n]
         if rooms:
-            b = [(c - u) for c, u in bins].index(min(rooms))
+            b = max((j for j, (c, u, _) in enumerate(bins) if c - u == min(rooms)), key=lambda j: bins[j][2])
         else:
             costs = []
             for s in [s for s in sizes if s >= n]:
@@ -215,10 +215,10 @@ def brute_pack(lengths, sizes):
                 costs.append((packing.cost(min(z for z in sizes if z >= filled)) / filled, s))
             least = min(c for c, _ in costs)
             b = len(bins)
-            bins.append([next(s for c, s in costs if c <= least + 1e-12), 0])
+            bins.append([next(s for c, s in costs if c <= least + 1e-12), 0, k])
         where[i] = (min(rooms) if rooms else None, bins[b][0])
-        bins[b][1] += n
-    return where, sorted((min(z for z in sizes if z >= u), u) for _, u in bins)
+        bins[b][1:] = [bins[b][1] + n, k]
+    return where, sorted((min(z for z in sizes if z >= u), u) for _, u, _ in bins)
 
 
 @pytest.mark.parametrize("seed", range(12))
