@@ -11,10 +11,11 @@ from __future__ import annotations
 import datetime
 import json
 import random
+import re
 import time
 import uuid
 from collections.abc import Callable, Iterable, Iterator
-from contextlib import contextmanager
+from contextlib import contextmanager, nullcontext
 from typing import Any
 
 from pyspark.sql import Column, DataFrame, Row, SparkSession
@@ -26,9 +27,10 @@ from .functions.paths import of
 from .functions.updates import apply_update
 from .operators import relations, search, vectors
 from .operators.pipeline import run_pipeline
+from .plans import ansi
 from .plans.builders import Aggregate, Query, UpdateBuilder
-from .plans.select import find, run_select
-from .plans.sql import Delete, Insert, Select, Update, parse
+from .plans.select import find
+from .plans.sql import Delete, Insert, Update, parse
 from .sources import files
 from .streaming import changes
 
@@ -695,19 +697,58 @@ class Database:
 
     # ---- SQL
     def sql(self, text: str, params: Any = None) -> Any:
-        """The rows of a SELECT; how many rows another statement touched."""
+        """The rows of a SELECT or of RETURNING; how many rows another statement touched. A SELECT that the document dialect doesn't know
+        is Spark SQL, with its three-valued logic."""
+        if not re.match(r"\s*(INSERT|UPDATE|DELETE)\b", text, re.I):
+            return ansi.select(self.spark, text, self.table, [*self.collections(), *self._catalog["views"]], params)
         q = parse(text, params)
-        if isinstance(q, Select):
-            return run_select(q, self.table)
         c = self.collection(q.table)
         if isinstance(q, Insert):
-            columns = q.columns or self._read(q.table).columns
-            return len(c.insert_many([dict(zip(columns, r, strict=True)) for r in q.rows]))
-        if isinstance(q, Update):
-            return c.update_many(q.where, {"$set": q.values})
-        if isinstance(q, Delete):
-            return c.delete_many(q.where)
-        raise DatabaseError("unknown statement")
+            return self._sql_insert(c, q)
+        if q.returning is None:
+            return c.update_many(q.where, {"$set": q.values}) if isinstance(q, Update) else c.delete_many(q.where)
+        with self.transaction() if self._staged is None else nullcontext():  # what returns and what changes are the same rows
+            hit = c.find(q.where)
+            if isinstance(q, Delete):
+                gone = hit if q.returning == ["*"] else hit.select(*q.returning)  # its files stay, so it can be read after the deletion
+                c.delete_many(q.where)
+                return gone
+            ids = [r["_id"] for r in hit.select("_id").collect()]  # the rows that the statement gives back
+            c.update_many(q.where, {"$set": q.values})
+            now = c.find({"_id": {"$in": ids}})
+            return now if q.returning == ["*"] else now.select(*q.returning)
+
+    def _sql_insert(self, c: Collection, q: Insert) -> Any:
+        columns = q.columns or self._read(q.table).columns
+        rows = [dict(zip(columns, r, strict=True)) for r in q.rows]
+        for d in rows:
+            d.setdefault("_id", str(uuid.uuid4()))
+        done = rows
+        with self.transaction() if q.conflict and self._staged is None else nullcontext():
+            if q.conflict:
+                key, values = q.conflict
+                asked = {"$or": [{k: d.get(k) for k in key} for d in rows]}
+                there = {tuple(r[k] for k in key) for r in c.find(asked).select(*key).collect()} if self._read(c.name).columns else set()
+                fresh: dict[tuple, dict] = {}
+                for d in rows:
+                    at = tuple(d.get(k) for k in key)
+                    if at in there or at in fresh:
+                        if values is None:
+                            continue
+                        new = {k: d.get(v[1]) if isinstance(v, tuple) else v for k, v in values.items()}
+                        if at in fresh:
+                            fresh[at].update(new)
+                        else:
+                            c.update_many(dict(zip(key, at, strict=True)), {"$set": new})
+                    else:
+                        fresh[at] = d
+                done = list(fresh.values())
+            if done:
+                c.insert_many(done)
+        if q.returning is None:
+            return len(done)
+        now = c.find({"_id": {"$in": [d["_id"] for d in done]}}) if done else c.find({"$or": []})
+        return now if q.returning == ["*"] else now.select(*q.returning)
 
     # ---- views
     def create_view(self, name: str, source: str, pipeline: list[dict], materialized: bool = False, refresh: str = "manual") -> None:

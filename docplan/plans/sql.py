@@ -3,13 +3,13 @@
     SELECT [DISTINCT] * | item {, item} FROM name [[AS] alias] {[INNER|LEFT|RIGHT|FULL|CROSS] JOIN name [[AS] alias] [ON path = path]}
         [WHERE cond] [GROUP BY path {, path}] [HAVING cond] [ORDER BY path [ASC|DESC] {, ...}] [LIMIT n] [OFFSET n | SKIP n]
     item := path | COUNT(*) | SUM|AVG|MIN|MAX|COUNT(path), each [[AS] alias]
-    INSERT INTO name [(columns)] VALUES (literals) {, (literals)}
+    INSERT INTO name [(columns)] VALUES (literals) {, (literals)} [ON CONFLICT (columns) DO NOTHING | DO UPDATE SET column = value {, ...}]
     UPDATE name SET column = literal {, ...} [WHERE cond]
-    DELETE FROM name [WHERE cond]
+    DELETE FROM name [WHERE cond]; each of the three may end with RETURNING * | columns; value: a literal or EXCLUDED.column
     cond: AND, OR, NOT, parentheses, = == != <> < <= > >=, [NOT] LIKE, [NOT] IN (...), [NOT] BETWEEN a AND b, IS [NOT] NULL
 
 Conditions are two-valued, as filters are. Literals are numbers, 'text', TRUE, FALSE, NULL and parameters: ? in order or :name.
-UPDATE and DELETE take all matching rows. What follows a statement is an error."""
+UPDATE and DELETE take all matching rows. What follows a statement is an error. SELECTs beyond this are Spark SQL: see `ansi`."""
 
 from __future__ import annotations
 
@@ -24,7 +24,7 @@ class SqlError(ValueError):
 _token = re.compile(r"\s*(?:(?P<number>\d+\.?\d*(?:[eE][+-]?\d+)?|\.\d+)|(?P<text>'(?:[^']|'')*')|(?P<quoted>\"(?:[^\"]|\"\")*\"|`[^`]*`)|(?P<param>\?|:[A-Za-z_]\w*)|(?P<word>[A-Za-z_]\w*)|(?P<op><>|!=|<=|>=|==|[=<>(),.*;+-]))")
 _joins = {"JOIN": "inner", "INNER": "inner", "LEFT": "left", "RIGHT": "right", "FULL": "full", "CROSS": "cross"}
 _aggregates = {"COUNT", "SUM", "AVG", "MIN", "MAX"}
-_reserved = {"FROM", "WHERE", "GROUP", "HAVING", "ORDER", "LIMIT", "OFFSET", "SKIP", "ON", "AND", "OR", "NOT", "AS", "SET", "VALUES", "UNION", *_joins}
+_reserved = {"FROM", "WHERE", "GROUP", "HAVING", "ORDER", "LIMIT", "OFFSET", "SKIP", "ON", "AND", "OR", "NOT", "AS", "SET", "VALUES", "UNION", "RETURNING", *_joins}
 
 
 class Token(NamedTuple):
@@ -66,17 +66,21 @@ class Insert(NamedTuple):
     table: str
     columns: list[str] | None
     rows: list[list]
+    conflict: tuple[list[str], dict | None] | None = None  # key, and what to set: ("excluded", column) or a value
+    returning: list[str] | None = None
 
 
 class Update(NamedTuple):
     table: str
     values: dict
     where: dict
+    returning: list[str] | None = None
 
 
 class Delete(NamedTuple):
     table: str
     where: dict
+    returning: list[str] | None = None
 
 
 Statement = Select | Insert | Update | Delete
@@ -318,7 +322,43 @@ class Parser:
             rows.append(row)
             if not self.take(","):
                 break
-        return Insert(table, columns, rows)
+        return Insert(table, columns, rows, self.conflict(), self.returning())
+
+    def conflict(self) -> tuple[list[str], dict | None] | None:
+        if not self.take("ON"):
+            return None
+        self.need("CONFLICT")
+        self.need("(")
+        key = [self.name()]
+        while self.take(","):
+            key.append(self.name())
+        self.need(")")
+        self.need("DO")
+        if self.take("NOTHING"):
+            return key, None
+        self.need("UPDATE")
+        self.need("SET")
+        values: dict = {}
+        while True:
+            path = self.path()
+            self.need("=")
+            if self.take("EXCLUDED"):
+                self.need(".")
+                values[path] = ("excluded", self.name())
+            else:
+                values[path] = self.literal()
+            if not self.take(","):
+                return key, values
+
+    def returning(self) -> list[str] | None:
+        if not self.take("RETURNING"):
+            return None
+        if self.take("*"):
+            return ["*"]
+        out = [self.path()]
+        while self.take(","):
+            out.append(self.path())
+        return out
 
     def update(self) -> Update:
         table, values = self.name(), {}
@@ -329,7 +369,7 @@ class Parser:
             values[path] = self.literal()
             if not self.take(","):
                 break
-        return Update(table, values, self.condition() if self.take("WHERE") else {})
+        return Update(table, values, self.condition() if self.take("WHERE") else {}, self.returning())
 
     def statement(self) -> Statement:
         if self.take("SELECT"):
@@ -340,7 +380,7 @@ class Parser:
             out = self.update()
         elif self.take("DELETE"):
             self.need("FROM")
-            out = Delete(self.name(), self.condition() if self.take("WHERE") else {})
+            out = Delete(self.name(), self.condition() if self.take("WHERE") else {}, self.returning())
         else:
             raise SqlError(f"expected SELECT, INSERT, UPDATE or DELETE, found {self.peek().value!r}")
         self.take(";")

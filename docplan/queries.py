@@ -16,9 +16,9 @@ from .functions.times import micros, millis
 from .functions.updates import apply_update
 from .operators import kv, relations, search, stores, timeseries, vectors, versions
 from .operators.pipeline import run_pipeline, tables_in
+from .plans import ansi
 from .plans.builders import Aggregate, FilterBuilder, Query, UpdateBuilder
-from .plans.select import find, run_select
-from .plans.sql import parse
+from .plans.select import find
 from .streaming import changes
 
 Run = Callable[[SparkSession, str], DataFrame]
@@ -97,9 +97,9 @@ for _name, _spec, _where in (
     query(_name, f"SELECT l_orderkey, l_linenumber FROM {_x} WHERE {_where}")(lambda s, d, spec=_spec: find(nullable(s, d), spec).select(*_keys))
 
 
-@query("filter_regex", "SELECT p_partkey FROM part WHERE regexp_matches(p_name, '[0-9]*5$')")
+@query("filter_regex", "SELECT p_partkey FROM part WHERE regexp_matches(p_name, '^(small|hot) .*[gr]$')")
 def _(s: SparkSession, d: str) -> DataFrame:
-    return find(table(s, d, "part"), {"p_name": {"$regex": "[0-9]*5$"}}).select("p_partkey")
+    return find(table(s, d, "part"), {"p_name": {"$regex": "^(small|hot) .*[gr]$"}}).select("p_partkey")
 
 
 @query("filter_regex_contains", "SELECT p_partkey FROM part WHERE contains(p_type, 'E')")
@@ -338,9 +338,9 @@ def _(s: SparkSession, d: str) -> DataFrame:
     return pipeline(s, d, "nation", [{"$project": {"name": "$n_name"}}, {"$unionWith": {"coll": "region", "pipeline": [{"$project": {"name": "$r_name"}}]}}])
 
 
-@query("relation_violations", "SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)")
+@query("relation_violations", "SELECT o_orderkey FROM orders WHERE NOT EXISTS (SELECT 1 FROM customer WHERE c_custkey = o_custkey AND c_acctbal > 0)")
 def _(s: SparkSession, d: str) -> DataFrame:
-    return relations.violations(table(s, d, "customer"), table(s, d, "orders"), "c_custkey", "o_custkey").select("c_custkey")
+    return relations.violations(table(s, d, "orders"), find(table(s, d, "customer"), {"c_acctbal": {"$gt": 0}}), "o_custkey", "c_custkey").select("o_orderkey")
 
 
 @query("relation_soft", "SELECT c_custkey, EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey) AS valid FROM customer")
@@ -484,12 +484,15 @@ def _(s: SparkSession, d: str) -> DataFrame:
 
 
 def sql(spark: SparkSession, d: str, text: str, params: Any = None) -> DataFrame:
-    return run_select(parse(text, params), tables_in(spark, d))
+    return ansi.select(spark, text, tables_in(spark, d), TABLES, params)
+
+
+TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "conversations")
 
 
 for _name, _text, _sql in (
     ("sql_where", "SELECT o_orderkey, o_totalprice FROM orders WHERE o_totalprice > 100000 AND o_totalprice < 120000 AND (o_orderstatus = 'F' OR o_orderstatus = 'P')", None),
-    ("sql_like_in_between", "SELECT p_partkey FROM part WHERE p_name LIKE '%1_' AND p_size NOT IN (1, 2) AND p_retailprice BETWEEN 900 AND 1500 AND p_brand IS NOT NULL", None),
+    ("sql_like_in_between", "SELECT p_partkey FROM part WHERE p_name LIKE '%e_ b%' AND p_size NOT IN (1, 2) AND p_retailprice BETWEEN 900 AND 1500 AND p_brand IS NOT NULL", None),
     ("sql_not", "SELECT c_custkey FROM customer WHERE NOT (c_mktsegment = 'BUILDING' OR c_acctbal < 0)", None),
     ("sql_order_limit", "SELECT o_orderkey FROM orders ORDER BY o_totalprice DESC, o_orderkey ASC LIMIT 10 OFFSET 5", None),
     ("sql_join", "SELECT c_custkey, n_name, r_name FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey WHERE r_name = 'ASIA'", None),
@@ -498,6 +501,20 @@ for _name, _text, _sql in (
     ("sql_having", "SELECT o_custkey, COUNT(*) AS n FROM orders GROUP BY o_custkey HAVING n > 15", "SELECT o_custkey, count(*) AS n FROM orders GROUP BY o_custkey HAVING count(*) > 15"),
     ("sql_distinct", "SELECT DISTINCT c_mktsegment FROM customer", None),
     ("sql_param", "SELECT n_name FROM nation WHERE n_regionkey = 2 AND n_name <> 'X'", None),
+    ("sql_right_join", "SELECT o_orderkey, c_custkey FROM orders RIGHT JOIN customer ON o_custkey = c_custkey", None),
+    ("sql_full_join", "SELECT c_custkey, s_suppkey FROM customer FULL JOIN supplier ON c_nationkey = s_nationkey", None),
+    ("sql_cross_join", "SELECT n_name, r_name FROM nation CROSS JOIN region", None),
+    ("sql_cte_union", "WITH a AS (SELECT o_custkey AS k, o_totalprice AS p FROM orders WHERE o_orderstatus = 'F'), b AS (SELECT k, max(p) AS p FROM a GROUP BY k) SELECT k, p FROM b WHERE p > 300000 UNION SELECT c_custkey, c_acctbal FROM customer WHERE c_acctbal < -900", None),
+    ("sql_subquery", "SELECT q.o_orderstatus, q.n FROM (SELECT o_orderstatus, count(*) AS n FROM orders GROUP BY o_orderstatus) q WHERE q.n > (SELECT avg(x) FROM (SELECT count(*) AS x FROM orders GROUP BY o_orderpriority))", None),
+    ("sql_exists", "SELECT c_custkey FROM customer c WHERE EXISTS (SELECT 1 FROM orders o WHERE o.o_custkey = c.c_custkey AND o.o_totalprice > 250000) AND c_nationkey NOT IN (SELECT n_nationkey FROM nation WHERE n_regionkey = 1)", None),
+    ("sql_case_functions", "SELECT o_orderkey, CASE WHEN o_totalprice > 200000 THEN upper(o_orderpriority) ELSE lower(o_orderpriority) END AS p, coalesce(nullif(o_orderstatus, 'F'), 'done') AS st, CAST(o_orderkey % 7 AS INT) AS m FROM orders", None),
+    ("sql_window", "SELECT o_orderkey, CAST(row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS INT) AS r, lag(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS was FROM orders", None),
+    ("sql_join_conditions", "SELECT count(*) AS n FROM lineitem l JOIN orders o ON l.l_orderkey = o.o_orderkey AND l.l_shipdate > o.o_orderdate CROSS JOIN (VALUES (1)) AS one(x) WHERE l.l_quantity > 30", None),
+    ("sql_three_valued", "SELECT c_custkey FROM customer LEFT JOIN orders ON o_custkey = c_custkey WHERE CASE WHEN NOT (o_totalprice > 100000) THEN 1 ELSE 0 END = 1 AND o_totalprice NOT IN (1, 2)", None),
+    ("sql_nulls_first", "SELECT c_custkey, o_orderkey FROM customer LEFT JOIN orders ON o_custkey = c_custkey ORDER BY o_orderkey NULLS FIRST, c_custkey DESC LIMIT 20", None),
+    ("sql_intersect_except", "SELECT c_nationkey AS k FROM customer INTERSECT SELECT s_nationkey FROM supplier EXCEPT SELECT n_nationkey FROM nation WHERE n_regionkey = 0", None),
+    ("sql_unnest", "SELECT vec_id, unnest(embedding) AS x FROM embeddings WHERE vec_id < 4", None),
+    ("sql_rollup", "SELECT o_orderstatus, o_orderpriority, count(*) AS n FROM orders GROUP BY ROLLUP (o_orderstatus, o_orderpriority)", None),
 ):
     query(_name, _sql or _text)(lambda s, d, text=_text: sql(s, d, text))
 QUERIES["sql_param"] = lambda s, d: sql(s, d, "SELECT n_name FROM nation WHERE n_regionkey = ? AND n_name <> ?", [2, "X"])
