@@ -22,6 +22,7 @@ from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .functions import plugins
 from .functions.filters import check_document, check_filter, compile_filter, sure
 from .functions.paths import of
 from .functions.updates import apply_update
@@ -129,6 +130,11 @@ class Collection:
             d.setdefault("_id", str(uuid.uuid4()))
             for f in self.db._triggers("before", "insert", self.name):
                 d = f(d) or d
+            for name in self.db._catalog["collections"].get(self.name, {}).get("validators", []):
+                if name not in plugins.VALIDATORS:
+                    raise DatabaseError(f"the validator {name} isn't here")
+                if not plugins.VALIDATORS[name](d):
+                    raise DatabaseError(f"{name} refuses the document {d['_id']}")
             rows.append(d)
         ids = [d["_id"] for d in rows]
         new: DataFrame | None = None

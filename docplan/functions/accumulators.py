@@ -55,6 +55,8 @@ def listed(scope: Scope, value: Column, order: Order) -> Column:
     return F.array_sort(pairs, compare).getField("v")
 
 
+#: Accumulators that plugins enter.
+CUSTOM: dict[str, Any] = {}
 #: Accumulators of the first n of an order, which needn't gather a group.
 BOUNDED = ("$minN", "$maxN", "$firstN", "$lastN", "$top", "$bottom", "$topN", "$bottomN", "$first", "$last")
 
@@ -125,4 +127,12 @@ def accumulate(scope: Scope, name: str, arg: Any, order: Order = (), strict_avg:
         return F.approx_count_distinct(expression(scope, arg))
     if name == "$stringAgg":
         return F.array_join(F.filter(listed(scope, expression(scope, arg["input"]), order), lambda x: x.isNotNull()), arg.get("separator", ","))
+    if name == "$accumulator":  # {init, merge, finalize, args}: columns by functions, over the gathered values
+        from .plugins import folded
+
+        return folded(arg["init"], arg["merge"], arg.get("finalize"), arg.get("kind"))(expression(scope, arg["args"][0] if isinstance(arg["args"], list) else arg["args"]))
+    if name in CUSTOM:
+        return CUSTOM[name](expression(scope, arg))
+    if name == "$histogram":
+        return F.histogram_numeric(expression(scope, arg["input"]), F.lit(arg["bins"]))
     raise ValueError(f"unknown accumulator {name}")

@@ -160,8 +160,12 @@ def operators(field: Field, spec: dict, options: dict) -> Column:
             continue
         elif op == "$geoWithin":
             parts.append(geo.within(field, value))
+        elif op == "$geoIntersects":
+            parts.append(geo.intersects(field, value))
         elif op in ("$near", "$geoNear"):
             parts.append(geo.near(field, value))
+        elif op == "$nearSphere":
+            parts.append(geo.near(field, (value if isinstance(value, dict) else {"coordinates": list(value)}) | {"spherical": True}))
         else:
             raise FilterError(f"unknown operator {op}")
     return every(parts)
@@ -215,6 +219,10 @@ def compile_filter(scope: Scope, spec: Any, **options: Any) -> Column:
             parts.append(text_search(scope, value))
         elif key == "$expr":
             parts.append(compare(scope, value))
+        elif key == "$where":
+            if not options.get("where"):
+                raise FilterError("$where isn't enabled")
+            parts.append(sure(F.expr(value) if isinstance(value, str) else value(scope)))
         elif key.startswith("$"):
             raise FilterError(f"unknown operator {key}")
         elif isinstance(value, dict) and (not value or next(iter(value)).startswith("$")):
@@ -226,6 +234,32 @@ def compile_filter(scope: Scope, spec: Any, **options: Any) -> Column:
     return every(parts)
 
 
+def fields_of(spec: Any) -> list[str]:
+    """The paths that a filter reads, in order; those of $expr too. What an index must cover, or a scan read."""
+    found: dict[str, None] = {}
+
+    def paths(e: Any) -> None:
+        if isinstance(e, str) and e.startswith("$") and not e.startswith("$$"):
+            found[e[1:]] = None
+        for x in e.values() if isinstance(e, dict) else e if isinstance(e, list | tuple) else ():
+            paths(x)
+
+    def walk(f: Any) -> None:
+        for key, value in f.items() if isinstance(f, dict) else ():
+            if key in ("$and", "$or", "$nor"):
+                for x in value:
+                    walk(x)
+            elif key == "$not":
+                walk(value)
+            elif key == "$expr":
+                paths(value)
+            elif not key.startswith("$"):
+                found[key] = None
+
+    walk(spec)
+    return list(found)
+
+
 # ---- the gate before filters from outside
 
 #: What filters from outside may use. Fixed values.

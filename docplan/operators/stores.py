@@ -109,3 +109,38 @@ def infer_schema(df: DataFrame) -> DataFrame:
         text = c.cast("string") if f.dataType.simpleString().split("<")[0] not in ("array", "struct", "map") else F.to_json(c)
         parts.append(F.struct(F.lit(f.name).alias("field"), F.lit(f.dataType.simpleString()).alias("type"), F.count(c).alias("present"), F.count_if(c.isNull()).alias("nulls"), F.approx_count_distinct(text).alias("distinct"), F.min(text).alias("low"), F.max(text).alias("high")))
     return df.agg(F.array(*parts).alias("f")).select(F.explode("f").alias("f")).select("f.*")
+
+
+# ---- jobs: (id, state, attempts, run_at, ...)
+
+
+def failed(jobs: DataFrame, ids: DataFrame, now, most: int = 5, base: float = 1.0, factor: float = 2.0, limit: float = 3600.0) -> DataFrame:
+    """The jobs once those of `ids` have failed: one more attempt, and pending again after base * factor ** attempts seconds, `limit` at
+    most; with the last attempt they are dead."""
+    hit = jobs.join(ids.select(F.col("id").alias("__id")).distinct(), F.col("id") == F.col("__id"), "left").withColumn("__hit", F.col("__id").isNotNull()).drop("__id")
+    tries = F.col("attempts") + 1
+    wait = F.least(F.lit(limit), F.lit(base) * F.pow(F.lit(factor), F.col("attempts")))
+    later = F.timestamp_micros((F.unix_micros(F.lit(now).cast("timestamp")) + wait * 1_000_000).cast("long"))
+    return hit.withColumns({
+        "state": F.when(F.col("__hit"), F.when(tries >= most, "dead").otherwise("pending")).otherwise(F.col("state")),
+        "run_at": F.when(F.col("__hit") & (tries < most), later).otherwise(F.col("run_at")),
+        "attempts": F.when(F.col("__hit"), tries).otherwise(F.col("attempts")),
+    }).drop("__hit")
+
+
+def dead_letters(jobs: DataFrame) -> DataFrame:
+    return jobs.where("state = 'dead'")
+
+
+def ready(jobs: DataFrame, needs: DataFrame) -> DataFrame:
+    """Pending jobs of a flow all of whose children are done. needs: id, child."""
+    open_ = needs.join(jobs.where("state <> 'done'").select(F.col("id").alias("child")), "child", "left_semi").select("id").distinct()
+    return jobs.where("state = 'pending'").join(open_, "id", "left_anti")
+
+
+def claim(jobs: DataFrame, n: int, now, worker: str) -> DataFrame:
+    """All jobs, the next n of the queue as running and the worker's. Written back in a transaction, a claim is the worker's alone."""
+    mine = pop_candidates(jobs, now, n).select(F.col("id").alias("__id"))
+    out = jobs.join(F.broadcast(mine), F.col("id") == F.col("__id"), "left")  # n rows
+    owner = F.col("owner") if "owner" in jobs.columns else F.lit(None).cast("string")
+    return out.withColumns({"state": F.when(F.col("__id").isNotNull(), "running").otherwise(F.col("state")), "owner": F.when(F.col("__id").isNotNull(), worker).otherwise(owner)}).drop("__id")

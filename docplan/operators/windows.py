@@ -6,6 +6,7 @@ from typing import Any
 
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.accumulators import accumulate
 from ..functions.expressions import expression
@@ -14,8 +15,32 @@ from ..functions.times import micros, seconds
 
 
 def order_by(scope: Scope, order: list[tuple[str, int]]) -> list[Column]:
-    """What is missing comes last when ascending, first when descending."""
-    return [scope.find(p).column.asc_nulls_last() if d > 0 else scope.find(p).column.desc_nulls_first() for p, d in order]
+    """What is missing comes last when ascending, first when descending; VARIANT values go by type and then by value, null first."""
+    out = []
+    for p, d in order:
+        field = scope.find(p)
+        if isinstance(field.kind, T.VariantType):
+            c = value_order(F.try_variant_get(field.column, field.inside or "$", "variant"))
+            out.append(c.asc() if d > 0 else c.desc())
+        else:
+            out.append(field.column.asc_nulls_last() if d > 0 else field.column.desc_nulls_first())
+    return out
+
+
+def value_order(c: Column) -> Column:
+    """A key that sorts VARIANT values of all types: null and missing, numbers, texts, documents, arrays, booleans, times. Within a type
+    by value; documents and arrays by their JSON."""
+    kind = F.upper(F.schema_of_variant(c))
+    number, text = F.try_variant_get(c, "$", "double"), F.try_variant_get(c, "$", "string")
+    of = [
+        (kind.isNull() | (kind == "VOID"), 1), (kind.rlike("^(BIGINT|DOUBLE|FLOAT|DECIMAL|INT|SMALLINT|TINYINT)"), 2), (kind == "STRING", 3),
+        (kind.startswith("OBJECT"), 4), (kind.startswith("ARRAY"), 5), (kind == "BOOLEAN", 6),
+    ]
+    rank = F.lit(7)
+    for test, n in reversed(of):
+        rank = F.when(test, n).otherwise(rank)
+    as_text = F.when(rank.isin(4, 5), F.to_json(c)).when(rank.isin(3, 6, 7), text)
+    return F.struct(rank.alias("rank"), F.when(rank == 2, number).alias("number"), as_text.alias("text"))
 
 
 def partition(scope: Scope, by: Any) -> list[Column]:

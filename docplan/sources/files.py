@@ -191,6 +191,15 @@ def export_files(tables: dict[str, DataFrame], path: str, form: str = "ndjson")
             raise ValueError(f"unknown form {form}")
 
 
+def write_indexed(df: DataFrame, path: str, bloom: list[str] = (), sort: list[str] = (), distinct: int = 1_000_000) -> None:
+    """Parquet whose row groups can be skipped: bloom filters of columns that are looked up by value, and rows sorted within their
+    files by columns that are looked up by range, so that their zones are narrow."""
+    w = (df.sortWithinPartitions(*sort) if sort else df).write.mode("overwrite")
+    for c in bloom:
+        w = w.option(f"parquet.bloom.filter.enabled#{c}", "true").option(f"parquet.bloom.filter.expected.ndv#{c}", str(distinct))
+    w.parquet(path)
+
+
 def import_file(spark: SparkSession, path: str, form: str = "ndjson") -> DataFrame:
     """Documents of a file or folder; lines that aren't JSON are skipped."""
     if form == "parquet":
