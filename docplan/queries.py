@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from .functions.expressions import FUNCTIONS, expression
 from .functions.filters import compile_filter
+from .functions import geo
 from .functions.geo import meters
 from .functions.paths import of
 from .functions.times import micros, millis
@@ -832,6 +833,64 @@ def _(s: SparkSession, d: str) -> DataFrame:
     }}])
 
 
+_grid = "(SELECT c_custkey, (c_custkey % 37) / 4.0 AS lng, (c_custkey % 23) / 4.0 AS lat FROM customer)"
+
+
+def grid(s: SparkSession, d: str) -> DataFrame:
+    return table(s, d, "customer").select("c_custkey", F.array((F.col("c_custkey") % 37) / 4.0, (F.col("c_custkey") % 23) / 4.0).alias("p"))
+
+
+@query("geo_intersects", f"SELECT c_custkey FROM {_grid} WHERE lng BETWEEN 1 AND 3 AND lat BETWEEN 1 AND 4")
+def _(s: SparkSession, d: str) -> DataFrame:
+    return find(grid(s, d), {"p": {"$geoIntersects": {"$geometry": {"type": "Polygon", "coordinates": [[[1, 1], [3, 1], [3, 4], [1, 4], [1, 1]]]}}}}).select("c_custkey")
+
+
+@query("geo_near_sphere", f"SELECT c_custkey, round(m, 3) AS m FROM (SELECT c_custkey, 2 * 6371008.8 * asin(sqrt(pow(sin(radians(lat - 2) / 2), 2) + cos(radians(lat)) * cos(radians(2)) * pow(sin(radians(lng - 3) / 2), 2))) AS m FROM {_grid}) WHERE m <= 90000 ORDER BY round(m, 3), c_custkey LIMIT 15")
+def _(s: SparkSession, d: str) -> DataFrame:
+    df = grid(s, d)
+    near = geo.nearest(df, of(df).find("p"), {"coordinates": [3, 2], "spherical": True, "$maxDistance": 90_000}, 10_000, "c_custkey")
+    return near.select("c_custkey", F.round("distance", 3).alias("m")).orderBy("m", "c_custkey").limit(15)
+
+
+_jobs = "(SELECT o_orderkey AS id, CASE WHEN o_orderstatus = 'F' THEN 'done' ELSE 'pending' END AS state, o_custkey % 5 AS attempts, o_orderdate AS run_at FROM orders)"
+
+
+def jobs(s: SparkSession, d: str) -> DataFrame:
+    state = F.when(F.col("o_orderstatus") == "F", "done").otherwise("pending")
+    return table(s, d, "orders").select(F.col("o_orderkey").alias("id"), state.alias("state"), (F.col("o_custkey") % 5).alias("attempts"), F.col("o_orderdate").alias("run_at"))
+
+
+@query("job_retries", f"""SELECT id, CASE WHEN state = 'pending' AND id % 3 = 0 THEN CASE WHEN attempts >= 4 THEN 'dead' ELSE 'pending' END ELSE state END AS state,
+CASE WHEN state = 'pending' AND id % 3 = 0 THEN attempts + 1 ELSE attempts END AS attempts, CASE WHEN state = 'pending' AND id % 3 = 0 AND attempts < 4 THEN epoch_us(TIMESTAMP '1999-01-01') + CAST(pow(2, attempts) * 1000000 AS BIGINT) ELSE epoch_us(CAST(run_at AS TIMESTAMP)) END AS run_at FROM {_jobs}""")
+def _(s: SparkSession, d: str) -> DataFrame:
+    import datetime
+
+    j = jobs(s, d).withColumn("run_at", F.col("run_at").cast("timestamp"))
+    out = stores.failed(j, j.where("state = 'pending' AND id % 3 = 0").select("id"), datetime.datetime(1999, 1, 1, tzinfo=datetime.UTC))
+    return out.withColumn("run_at", micros("run_at"))
+
+
+@query("job_flow", f"SELECT id FROM {_jobs} j WHERE state = 'pending' AND NOT EXISTS (SELECT 1 FROM {_jobs} c WHERE c.id = j.id - 1 AND c.state <> 'done')")
+def _(s: SparkSession, d: str) -> DataFrame:
+    j = jobs(s, d)
+    return stores.ready(j, j.select("id", (F.col("id") - 1).alias("child"))).select("id")
+
+
+@query("update_bit", "SELECT o_orderkey, (o_custkey & 12) | 1 AS o_custkey FROM orders WHERE o_orderkey % 2 = 0")
+def _(s: SparkSession, d: str) -> DataFrame:
+    df = find(table(s, d, "orders"), {"$expr": {"$eq": [{"$mod": ["$o_orderkey", 2]}, 0]}})
+    return apply_update(apply_update(df, {"$bit": {"o_custkey": {"and": 12}}}), {"$bit": {"o_custkey": {"or": 1}}}).select("o_orderkey", "o_custkey")
+
+
+@query("version_patch", """WITH h AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS v FROM conversations) SELECT conv_id, role, text FROM h WHERE v = 2""")
+def _(s: SparkSession, d: str) -> DataFrame:
+    h = versions.number(table(s, d, "conversations"), "conv_id", ["turn"])
+    a, b = h.where("version = 1").select("conv_id", "role", "text"), h.where("version = 2").select("conv_id", "role", "text")
+    both = a.join(b.select("conv_id"), "conv_id", "left_semi")
+    patch = versions.changes(h.where("version <= 2"), "conv_id", ["role", "text"])
+    return versions.apply_diff(both, patch, "conv_id", ["role", "text"]).select("conv_id", "role", "text")
+
+
 @query("zone_map", "SELECT count(*) AS rows, min(o_orderkey) AS lo, max(o_orderkey) AS hi FROM orders")
 def _(s: SparkSession, d: str) -> DataFrame:
     zones = kv.may_match(kv.zone_map(table(s, d, "orders"), ["o_orderkey"]), "o_orderkey", lo=10)
