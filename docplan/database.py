@@ -18,7 +18,7 @@ from collections.abc import Callable, Iterable, Iterator
 from contextlib import contextmanager, nullcontext
 from typing import Any
 
-from pyspark.sql import Column, DataFrame, Row, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -139,7 +139,7 @@ class Collection:
         ids = [d["_id"] for d in rows]
         new: DataFrame | None = None
         for k in range(0, len(rows), BATCH):
-            part = files.documents(self.db.spark, rows[k : k + BATCH])
+            part = files.documents(self.db.spark, rows[k : k + BATCH]).coalesce(1)  # a file for each batch
             new = part if new is None else (lambda p: p[0].unionByName(p[1], allowMissingColumns=True))(aligned(new, part))
             if on_progress:
                 on_progress(min(len(rows), k + BATCH))
@@ -171,12 +171,14 @@ class Collection:
         df = self.db._read_parts(parts, files_too=True)
         where = filter or {}
         hit = df.where(compile_filter(of(df), where))
-        if one:
-            first = hit.orderBy("_id").select("_id").first()
-            where = {"_id": {"$in": [first["_id"]]}} if first else {"$or": []}
-            hit = df.where(compile_filter(of(df), where))
         touched: dict[str, list[str]] = {}
         n = 0
+        if one:
+            first = hit.orderBy("_id").select("_id", _FILE).first()
+            if first is None:
+                return df, {"$or": []}, {}, 0
+            folder, name = first[_FILE].rsplit("/", 2)[1:]
+            return df, {"_id": {"$in": [first["_id"]]}}, {folder: [name]}, 1
         for r in hit.groupBy(_FILE).agg(F.count("*").alias("n")).collect():  # a row for each file that holds a match
             folder, name = r[_FILE].rsplit("/", 2)[1:]
             touched.setdefault(folder, []).append(name)
@@ -532,15 +534,30 @@ class Database:
         return out
 
     def _stage(self, name: str, change: DataFrame) -> dict:
-        """Changes in files that no log lists yet."""
+        """Changes in files that no log lists yet, numbered from 0. Those of one partition are numbered as they are written; of several,
+        each behind those before it, which takes a second pass over the changes."""
         ident = uuid.uuid4().hex
-        change.withColumn("ns", F.lit(name)).select("op", "ns", "key", "document", "before").write.parquet(f"{self.path}/_staged/{ident}")
-        return {"id": ident, "n": self._staged_rows({"id": ident}).count()}
-
-    def _staged_rows(self, log: dict) -> DataFrame:
+        path, seen = f"{self.path}/_staged/{ident}", Observation()
+        n = F.monotonically_increasing_id()
+        row = [n.bitwiseAND((1 << 33) - 1).alias("i"), "op", F.lit(name).alias("ns"), "key", "document", "before", F.current_timestamp().alias("ts")]
+        change.select(*row, F.shiftright(n, 33).alias("p")).observe(seen, F.count(F.lit(1)).alias("n"), F.min("p").alias("lo"), F.max("p").alias("hi")).write.parquet(path)
+        told = seen.get
+        if told["n"] and told["lo"] != told["hi"]:
+            rows = self._staged_rows({"id": ident}, "p long")
+            starts, at = {}, 0
+            for k, size in sorted(rows.groupBy("p").count().collect()):  # a row for each partition
+                starts[k], at = at, at + size
+            first = F.element_at(F.create_map(*[F.lit(x) for kv in starts.items() for x in kv]), F.col("p"))
+            numbered = uuid.uuid4().hex
+            rows.withColumn("i", F.col("i") + first).drop("p").write.parquet(f"{self.path}/_staged/{numbered}")
+            files.delete(self.spark, path)
+            ident = numbered
+        return {"id": ident, "n": told["n"]}
+
+    def _staged_rows(self, log: dict, more: str = "") -> DataFrame:
         for path in (f"{self.path}/_staged/{log['id']}", *([f"{self._log}/c{log['start']:020d}"] if "start" in log else [])):
             if files.exists(self.spark, path):
-                return self.spark.read.schema("op string, ns string, key string, document string, before string").parquet(path)
+                return self.spark.read.schema(f"{changes.STORED}{', ' * bool(more)}{more}").parquet(path)
         raise DatabaseError("the changes are gone")
 
     def _write(self, name: str, f: Callable[[list[dict]], tuple[list[dict], list[dict]] | None], session: list | None = None) -> list[dict]:
@@ -588,7 +605,8 @@ class Database:
                 if log["n"]:
                     told.append(log | {"start": catalog["seq"] + 1, "ts": now})
                     catalog["seq"] += log["n"]
-            catalog["unpublished"] = [*catalog["unpublished"], *told]
+            # what earlier commits told is in the log by now, or is put there by this one
+            catalog["unpublished"] = [*(x for x in catalog["unpublished"] if files.exists(self.spark, f"{self.path}/_staged/{x['id']}")), *told]
             for key, count, ids in sessions:
                 catalog["sessions"][key] = [count, ids]
             if self._try(number, catalog):
@@ -596,30 +614,13 @@ class Database:
                 return told
 
     def _publish(self) -> None:
-        """Puts committed changes into the log, each set as one folder that appears whole. What a writer that ended in between left is
-        put there by the next one; a folder that is there already is left as it is."""
+        """Puts committed changes into the log: each set is a folder that is renamed to the number that its first change has. What a
+        writer that ended in between left is put there by the next one, and a folder that is there already stays."""
         todo = self._catalog["unpublished"]
         for log in todo:
             staged, target = f"{self.path}/_staged/{log['id']}", f"{self._log}/c{log['start']:020d}"
-            if not files.exists(self.spark, target):
-                rows = self.spark.read.schema("op string, ns string, key string, document string, before string").parquet(staged)
-                rows = rows.select("*", F.spark_partition_id().alias("__p"), F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1).alias("__i"))
-                sizes = dict(rows.groupBy("__p").count().collect())  # a row for each partition
-                starts, at = {}, log["start"]
-                for k in sorted(sizes):
-                    starts[k], at = at, at + sizes[k]
-                first = F.element_at(F.create_map(*[F.lit(x) for kv in starts.items() for x in kv]), F.col("__p"))
-                made = rows.select((first + F.col("__i")).cast("long").alias("seq"), "op", "ns", "key", "document", "before", F.lit(log["ts"]).cast("timestamp").alias("ts"))
-                made.write.mode("overwrite").parquet(f"{staged}-numbered")
-                files.move(self.spark, f"{staged}-numbered", target)
-            files.delete(self.spark, staged)
-        if todo:
-            ids = {x["id"] for x in todo}
-            while True:
-                number, catalog = self._latest()
-                catalog["unpublished"] = [x for x in catalog["unpublished"] if x["id"] not in ids]
-                if self._try(number, catalog):
-                    return
+            if files.exists(self.spark, staged):
+                files.move(self.spark, staged, target)
 
     def _difference(self, name: str, old: list[dict], new: list[dict]) -> dict:
         """The changes between two sets of parts, by identifier; one `invalidate` where there is none."""

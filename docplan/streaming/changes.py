@@ -15,17 +15,25 @@ from ..sources.files import exists
 
 #: A change: its number, kind, collection and document.
 SCHEMA = "seq long, op string, ns string, key string, document string, before string, ts timestamp"
+#: As the log stores it: i counts from the number that the folder's name tells.
+STORED = "i long, op string, ns string, key string, document string, before string, ts timestamp"
+
+
+def numbered(log: DataFrame) -> DataFrame:
+    """With `seq`: the first number of the folder, and the change's place behind it."""
+    first = F.regexp_extract(F.col("_metadata.file_path"), r"/c(\d{20})/[^/]*$", 1).cast("long")
+    return log.select((first + F.col("i")).alias("seq"), "op", "ns", "key", "document", "before", "ts")
 
 
 def read_since(spark: SparkSession, path: str, seq: int = 0, ns: str | None = None) -> DataFrame:
     """Changes from a number on, in order."""
-    log = spark.read.schema(SCHEMA).parquet(f"{path}/c*").where(F.col("seq") >= seq) if exists(spark, path) else spark.createDataFrame([], SCHEMA)
+    log = numbered(spark.read.schema(STORED).parquet(f"{path}/c*")).where(F.col("seq") >= seq) if exists(spark, path) else spark.createDataFrame([], SCHEMA)
     return (log if ns is None else log.where(F.col("ns") == ns)).orderBy("seq")
 
 
 def stream(spark: SparkSession, path: str, ns: str | None = None, since: int = 0, where: Any = None) -> DataFrame:
     """The log as a stream; of one collection, from a resume point, where a filter on the change holds."""
-    log = spark.readStream.schema(SCHEMA).parquet(f"{path}/c*").where(F.col("seq") >= since)
+    log = numbered(spark.readStream.schema(STORED).parquet(f"{path}/c*")).where(F.col("seq") >= since)
     if ns is not None:
         log = log.where(F.col("ns") == ns)
     return log if where is None else log.where(compile_filter(of(log), where))
