@@ -239,32 +239,33 @@ def _gather(told: DataFrame, percent: int, buckets: int) -> DataFrame:
 
 
 def _blocks(some: DataFrame, percent: int, block: int) -> DataFrame:
-    """some with the block that each set is at home in, and the class of its size: linked sets are of one class or of two next to each
-    other. A home is cut into as many blocks as it needs; only homes that need several are joined."""
+    """some with the block that each set is at home in: by its least shingle and the class of its size. A home is cut into as many blocks
+    as it needs; only homes that need several are joined."""
     step = max(math.log(100 / percent), 1e-9) * 1.0001
     at = some.withColumn("home", F.array_min("codes")).withColumn("class", F.floor(F.log("n") / step))
     large = at.groupBy("home", "class").agg(F.ceil(F.sum(F.size("codes")) / block).alias("parts")).where("parts > 1")
     part = F.pmod(F.xxhash64("set"), F.coalesce("parts", F.lit(1)))
-    return at.join(large, ["home", "class"], "left").withColumn("block", F.xxhash64("home", "class", part)).drop("home", "parts")
+    return at.join(large, ["home", "class"], "left").withColumn("block", F.xxhash64("home", "class", part)).select("set", "n", "codes", "c", "block")
 
 
 def _visits(homes: DataFrame, percent: int) -> DataFrame:
-    """(set, block): the other blocks where a set may have a partner. Of two blocks the set of the larger number visits."""
+    """(sid, block): the other blocks where a set may have a partner. Of two blocks the set of the larger number visits. sid is a hash
+    of the set, which keeps the lists' rows short; two sets that share one visit what either would, which costs time only."""
     prefix = F.greatest(F.lit(0), F.size("codes") - F.ceil(F.col("n") * percent / 100) + 1).cast("int")
-    lists = homes.select("set", "n", "class", "block", F.size("codes").alias("m"), F.posexplode(F.slice("codes", 1, prefix)).alias("at", "code"))
-    lists = lists.select("code", "set", "n", "class", "block", (F.col("m") - F.col("at")).alias("left"))
-    spots = lists.groupBy("code", "block", "class").agg(F.max("left").alias("spot_left"), F.min("n").alias("spot_n"))
-    spots = spots.select("code", F.col("block").alias("spot"), F.col("class").alias("spot_class"), "spot_left", "spot_n")
+    lists = homes.select(F.xxhash64("set").alias("sid"), "n", "block", F.size("codes").alias("m"), F.posexplode(F.slice("codes", 1, prefix)).alias("at", "code"))
+    lists = lists.select("code", "sid", "n", "block", (F.col("m") - F.col("at")).alias("left"))
+    spots = lists.groupBy("code", "block").agg(F.max("left").alias("spot_left"), F.min("n").alias("spot_n")).withColumnRenamed("block", "spot")
     # an overlap behind the first shared shingle is at most what both have left there, and links need percent / (100 + percent) of both sizes
     enough = F.least("left", "spot_left").cast("long") * (100 + percent) >= (F.col("n").cast("long") + F.col("spot_n")) * percent
-    met = lists.join(spots, "code").where((F.col("spot") < F.col("block")) & (F.abs(F.col("class") - F.col("spot_class")) <= 1) & enough)
-    return met.select("set", F.col("spot").alias("block")).distinct()
+    met = lists.join(spots, "code").where((F.col("spot") < F.col("block")) & enough)
+    return met.select("sid", F.col("spot").alias("block")).distinct()
 
 
 def _deal(homes: DataFrame, visits: DataFrame, block: int) -> DataFrame:
     """block, chunk, visitor, set, n, codes, c: each block with each chunk of its visitors; blocks of one set without visitors are left out."""
     plain = homes.select("block", "set", "n", "codes", "c")
-    guests = visits.join(plain.drop("block"), "set")
+    own = plain.withColumn("sid", F.xxhash64("set")).withColumnRenamed("block", "home")
+    guests = visits.join(own, "sid").where("block <> home").drop("sid", "home")
     load = guests.groupBy("block").agg(F.greatest(F.lit(1), F.ceil(F.sum(F.size("codes")) / block)).alias("chunks"))
     busy = plain.groupBy("block").agg(F.count("*").alias("members")).join(load, "block", "left").where("members > 1 OR chunks IS NOT NULL")
     members = plain.join(busy.select("block", F.coalesce("chunks", F.lit(1)).alias("chunks")), "block")
