@@ -757,9 +757,9 @@ def _(s: SparkSession, d: str) -> DataFrame:
     return kv.replay(log, ["key"])
 
 
-@query("token_bucket", """WITH RECURSIVE e AS (SELECT user_id, event_id, epoch_us(ts) / 1e6 AS at, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM events),
-b AS (SELECT user_id, event_id, at, k, CAST(2 AS DOUBLE) AS had FROM e WHERE k = 1
-UNION ALL SELECT e.user_id, e.event_id, e.at, e.k, least(CAST(2 AS DOUBLE), (CASE WHEN b.had >= 1 THEN b.had - 1 ELSE b.had END) + (e.at - b.at) * (CAST(1 AS DOUBLE) / 86400)) FROM b JOIN e ON e.user_id = b.user_id AND e.k = b.k + 1)
+@query("token_bucket", """WITH RECURSIVE e AS (SELECT user_id, event_id, epoch_us(ts) / 1e6 AS sec, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM events),
+b AS (SELECT user_id, event_id, sec, k, CAST(2 AS DOUBLE) AS had FROM e WHERE k = 1
+UNION ALL SELECT e.user_id, e.event_id, e.sec, e.k, least(CAST(2 AS DOUBLE), (CASE WHEN b.had >= 1 THEN b.had - 1 ELSE b.had END) + (e.sec - b.sec) * (CAST(1 AS DOUBLE) / 86400)) FROM b JOIN e ON e.user_id = b.user_id AND e.k = b.k + 1)
 SELECT user_id, event_id, had >= 1 AS allowed FROM b""")
 def _(s: SparkSession, d: str) -> DataFrame:
     return kv.token_bucket(table(s, d, "events"), "user_id", "ts", "event_id", 1 / 86_400, 2)
