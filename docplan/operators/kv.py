@@ -35,6 +35,22 @@ def replay(log: DataFrame, by: list[str], now: Column | None = None) -> DataFram
     return kept.drop("__from", "e")
 
 
+def mget(store: DataFrame, keys: list[str]) -> DataFrame:
+    """(key, value): a row for each key asked for, in any order, null where there is none. The keys are few, and are broadcast."""
+    asked = store.sparkSession.createDataFrame([(k,) for k in dict.fromkeys(keys)], "key string")
+    mine = store.where(F.col("key").cast("string").isin(list(dict.fromkeys(keys)))).select(F.col("key").cast("string").alias("key"), "value")
+    return asked.join(mine, "key", "left")
+
+
+def ttl(log: DataFrame, now: Column) -> DataFrame:
+    """(key, seconds): how long each key that has an end still lives; a write behind an expire takes its end away, incr doesn't."""
+    last = log.groupBy("key").agg(
+        F.max(F.when(F.col("op") == "expire", F.struct("seq", (micros("ts") + F.col("value") * 1_000_000).alias("at")))).alias("e"), F.max(F.when(F.col("op").isin("set", "setnx", "del"), F.col("seq"))).alias("w")
+    )
+    left = (F.col("e.at") - micros(now)) / 1e6
+    return last.where(F.col("e").isNotNull() & (F.col("w").isNull() | (F.col("e.seq") > F.col("w"))) & (left > 0)).select("key", left.alias("seconds"))
+
+
 def token_bucket(events: DataFrame, by: str, time: str, tiebreak: str, rate: float, burst: float) -> DataFrame:
     """(by, tiebreak, allowed): each event takes a token of its key's bucket, which fills by `rate` a second up to `burst`. A bucket's
     level depends on all that came before, which no window expresses: keys are dealt out and sorted, and a task folds its rows as they

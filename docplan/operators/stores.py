@@ -85,6 +85,26 @@ def visible(df: DataFrame, readable: set[str]) -> DataFrame:
     return df.select(*[c for c in df.columns if c in readable])
 
 
+def masked(df: DataFrame, rules: dict[str, str]) -> DataFrame:
+    """Fields as a reader may see them: hide makes them null, hash gives their SHA-256, last4 all but the last four characters starred."""
+    new = {}
+    for name, rule in rules.items():
+        text = F.col(f"`{name}`").cast("string")
+        n = F.greatest(F.lit(0), F.char_length(text) - 4)
+        if rule not in ("hide", "hash", "last4"):
+            raise ValueError(f"unknown rule {rule}")
+        new[name] = F.lit(None).cast(df.schema[name].dataType) if rule == "hide" else F.sha2(text.cast("binary"), 256) if rule == "hash" else F.concat(F.repeat(F.lit("*"), n), F.substr(text, n + 1))
+    return df.withColumns(new)
+
+
+def refused(before: DataFrame, after: DataFrame, key: str, writable: set[str]) -> DataFrame:
+    """(key, field): changes to fields that may not be written; none if a write may pass."""
+    fields = [c for c in before.columns if c != key and c not in writable and c in after.columns]
+    a, b = before.select(key, *[F.col(c).alias(f"a_{c}") for c in fields]), after.select(key, *[F.col(c).alias(f"b_{c}") for c in fields])
+    hit = F.array_compact(F.array(*[F.when(~F.col(f"a_{c}").eqNullSafe(F.col(f"b_{c}")), F.lit(c)) for c in fields])) if fields else F.array().cast("array<string>")
+    return a.join(b, key).select(key, F.explode(hit).alias("field"))
+
+
 # ---- sets of rows
 
 

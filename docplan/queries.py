@@ -891,6 +891,33 @@ def _(s: SparkSession, d: str) -> DataFrame:
     return versions.apply_diff(both, patch, "conv_id", ["role", "text"]).select("conv_id", "role", "text")
 
 
+@query("kv_ttl", """WITH l AS (SELECT event_id AS seq, user_id AS key, CASE event_type WHEN 'purchase' THEN 'expire' WHEN 'error' THEN 'del' WHEN 'signup' THEN 'set' ELSE 'incr' END AS op, event_id % 50 * 86400 AS value, epoch_us(ts) AS us FROM events),
+e AS (SELECT key, max(seq) FILTER (op = 'expire') AS e, arg_max(us + value * 1000000, seq) FILTER (op = 'expire') AS ends, max(seq) FILTER (op IN ('set', 'del')) AS w FROM l GROUP BY 1)
+SELECT key, (ends - (SELECT max(epoch_us(ts)) FROM events)) / 1e6 AS seconds FROM e WHERE e IS NOT NULL AND (w IS NULL OR e > w) AND ends > (SELECT max(epoch_us(ts)) FROM events)""")
+def _(s: SparkSession, d: str) -> DataFrame:
+    kind = F.when(F.col("event_type") == "purchase", "expire").when(F.col("event_type") == "error", "del").when(F.col("event_type") == "signup", "set").otherwise("incr")
+    events = table(s, d, "events")
+    log = events.select(F.col("event_id").alias("seq"), F.col("user_id").alias("key"), kind.alias("op"), (F.col("event_id") % 50 * 86_400).alias("value"), "ts")
+    return kv.ttl(log, F.lit(events.agg(F.max("ts")).first()[0]))
+
+
+@query("kv_mget", "SELECT k AS key, c_custkey AS value FROM (SELECT unnest(['Customer#000000003', 'Customer#000000007', 'nobody']) AS k) LEFT JOIN customer ON c_name = k")
+def _(s: SparkSession, d: str) -> DataFrame:
+    return kv.mget(table(s, d, "customer").select(F.col("c_name").alias("key"), F.col("c_custkey").alias("value")), ["Customer#000000003", "Customer#000000007", "nobody"])
+
+
+@query("field_masks", "SELECT c_custkey, repeat('*', greatest(0, length(c_name) - 4)) || right(c_name, 4) AS c_name, sha256(c_mktsegment) AS c_mktsegment FROM customer")
+def _(s: SparkSession, d: str) -> DataFrame:
+    return stores.masked(table(s, d, "customer").select("c_custkey", "c_name", "c_mktsegment"), {"c_name": "last4", "c_mktsegment": "hash"})
+
+
+@query("field_write_rules", "SELECT o_orderkey, 'o_totalprice' AS field FROM orders WHERE o_totalprice > 200000")
+def _(s: SparkSession, d: str) -> DataFrame:
+    o = table(s, d, "orders").select("o_orderkey", "o_totalprice", "o_orderstatus")
+    after = apply_update(apply_update(o, {"$inc": {"o_totalprice": 1}}, {"o_totalprice": {"$gt": 200_000}}), {"$set": {"o_orderstatus": "X"}})
+    return stores.refused(o, after, "o_orderkey", {"o_orderstatus"})
+
+
 @query("zone_map", "SELECT count(*) AS rows, min(o_orderkey) AS lo, max(o_orderkey) AS hi FROM orders")
 def _(s: SparkSession, d: str) -> DataFrame:
     zones = kv.may_match(kv.zone_map(table(s, d, "orders"), ["o_orderkey"]), "o_orderkey", lo=10)
